@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bits of one native bitmap of ``bitmap_construct_agg``.
 BITMAP_BITS = 32768
-#: A filter is never broadcast with more bits than this (32 MB).
-MAX_FILTER_BITS = 1 << 28
+#: A filter is never broadcast with more bits than this: 4,096 bitmaps, 32 MB as sent.
+MAX_FILTER_BITS = 1 << 27
 
 #: Characters that end a word, and the same as Spark's translate() wants them.
 SPACES = " \t\n\x0b\x0c\r"
@@ -60,23 +60,43 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a scratch Parquet table and read it back.
 
-    Cuts the lineage with files that outlive any executor. The caller's plan
-    reads the files lazily, so they stay until :func:`sweep`.
+    Cuts the lineage with files that outlive any executor; the shuffle files of
+    the write go as soon as it is done. The caller's plan reads the table
+    lazily, so it stays until :func:`discard` or :func:`sweep`.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a scratch table that no later plan reads."""
+    for f in table.inputFiles()[:1]:
+        path = f.rsplit("/", 1)[0]
+        if path.startswith(scratch_root(table.sparkSession)) or "/scratch-" in path:
+            _delete(table.sparkSession, path)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete this application's scratch tables once no result depends on them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
 
 
 def filter_bits(n: int, per_key: int = 16) -> int:
@@ -99,10 +119,11 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int) -> DataFrame:
     """
     bucket, bit = _place(F.col(keys.columns[0]), bits)
     maps = keys.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    maps = maps.select("_bucket", F.expr("transform(sequence(0, 1023), i -> cast(conv(hex(substring(_map, i * 4 + 1, 4)), 16, 10) as bigint))").alias("_map"))
     bucket, bit = _place(F.col(key), bits)
-    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.shiftright("_bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("shiftright(_byte, cast(_bit % 8 as int)) & 1") == 1
-    out = df.withColumn("_bucket", bucket).withColumn("_bit", bit).join(F.broadcast(maps), "_bucket", "left").withColumn("_byte", byte)
+    # Four bytes a word, first byte highest; within a byte the lowest bit comes first.
+    hit = F.expr("(shiftright(_map[cast(shiftright(_bit, 5) as int)], cast((3 - (shiftright(_bit, 3) & 3)) * 8 + (_bit & 7) as int)) & 1) = 1")
+    out = df.withColumn("_bucket", bucket).withColumn("_bit", bit).join(F.broadcast(maps), "_bucket", "left")
     return out.withColumn("_maybe", F.coalesce(hit, F.lit(False))).select(*df.columns, "_maybe")
 
 
