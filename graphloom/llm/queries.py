@@ -24,6 +24,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), map_path=f"{scratch_root(spark)}/slot-map-{uuid.uuid4().hex[:12]}")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepiece_codec import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import conversation_digests, format_turns
 
@@ -55,6 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_sharding": op2_sharding,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_format": op5_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_near_dedup": op9_near_dedup,
