@@ -1,8 +1,8 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
 1. A document's set is its distinct word shingles, hashed by one 64-bit
-   function; its sketch is the k smallest values. Documents with equal sets
-   collapse into one node.
+   function; its sketch is the high halves of the k smallest values, in order.
+   Documents with equal sets collapse into one node.
 2. Inverted lists: runs of consecutive retained values are the list keys. Two
    sets with Jaccard 0.8 agree on 80 % of the values of their union in order,
    so some run of four among the first 64 is whole in both. For unions of up
@@ -12,9 +12,10 @@
 3. Each list tests its members against one pivot, so a list of n members
    gives n - 1 pairs and a hot one is a skewed join, never all pairs. The
    union-sketch estimate filters pairs; survivors are confirmed on full sets.
-4. Lists that still hold several components go on: first with further pivots
-   from their largest component, then, for exactness, every member outside
-   that component meets the whole list in blocks. No member is dropped.
+4. Lists that still hold several components go on: every member outside the
+   list's largest component meets the whole list in blocks. Where that would
+   be much work, further pivots from that component come first, which shrinks
+   what is outside. No member is dropped either way.
 5. Connected components over confirmed links.
 
 Defined cases: a null or empty text has no set and links with nothing; fewer
@@ -26,6 +27,7 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import components, filter_bits, materialise, maybe_in, rows_without, ship_package
+from .common import components, discard, filter_bits, materialise, maybe_in, rows_without, ship_package
 from .wordhash import gram_hashes, shingle_set
 
 K = 64
 #: Members of a block of a list that are compared at once.
 BLOCK = 128
-#: Rounds of further pivots before blocks.
-PIVOT_ROUNDS = 4
-_SHORT = 32  # values of the short sketch that blocks carry, high halves only
+#: Comparisons a node, on average, up to which lists are finished in blocks;
+#: above, further pivots come first. Either way every member is compared.
+WORK_PER_NODE = 300
+MAX_PIVOT_ROUNDS = 12
 
 
 def _sketches(width: int):
@@ -54,7 +57,7 @@ def _sketches(width: int):
                     s = shingle_set(t.as_py(), width)
                     n.append(len(s))
                     ids.append(xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                    kept.append(s[:K].tobytes())
+                    kept.append((s[:K] >> np.uint64(32)).astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "set_id", "sketch"])
 
     return run
@@ -77,19 +80,39 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             batch = whole.slice(at, 2000)
-            keys = [list_keys(np.frombuffer(s, np.uint64), n) for n, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            keys = [list_keys(np.frombuffer(s, np.uint32).astype(np.uint64), n) for n, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)), pa.array(nodes)], ["key", "node"])
 
 
+_NONE = np.iinfo(np.uint32).max
+
+
 def _padded(blobs: list[bytes]) -> np.ndarray:
-    out = np.full((len(blobs), K), np.iinfo(np.uint64).max, np.uint64)
+    out = np.full((len(blobs), K), _NONE, np.uint32)
     for k, b in enumerate(blobs):
-        v = np.frombuffer(b, np.uint64)
+        v = np.frombuffer(b, np.uint32)
         out[k, : len(v)] = v
     return out
 
 
+def _least_shared() -> np.ndarray:
+    """For k values of a union, the fewest shared ones that Jaccard 0.8 still
+    gives but once in a million: least c with P(Binomial(k, 0.8) < c) > 1e-6."""
+    out = np.zeros(2 * K + 1, np.int64)
+    for k in range(1, 2 * K + 1):
+        below = 0.0
+        for c in range(k + 1):
+            below += comb(k, c) * 0.8**c * 0.2 ** (k - c)
+            if below > 1e-6:
+                out[k] = c
+                break
+    return out
+
+
+_LEAST = _least_shared()
+
+
 def union_estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row by row: how many of the k smallest values of the union are in both, and k."""
     s = np.sort(np.concatenate([a, b], axis=1), axis=1)
@@ -107,19 +130,13 @@ def union_estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both sizes and sketches to those that may be links.
-
-    ``sure`` where both sketches are whole sets, whose estimate is exact.
-    """
+    """Pairs with both sketches to those that may be links."""
     for whole in batches:
         for at in range(0, whole.num_rows, 20_000):
             batch = whole.slice(at, 20_000)
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            shared, k = union_estimate(_padded(batch.column(4).to_pylist()), _padded(batch.column(5).to_pylist()))
-            exact = (na < K) & (nb < K)
-            margin = 6 * np.sqrt(0.16 / np.maximum(k, 1))
-            keep = np.where(exact, 100 * shared >= 80 * k, shared >= (0.8 - margin) * k) & (k > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[keep]), pa.array(batch.column(1).to_numpy()[keep]), pa.array(exact[keep])], ["a", "b", "sure"])
+            shared, k = union_estimate(_padded(batch.column(2).to_pylist()), _padded(batch.column(3).to_pylist()))
+            keep = shared >= _LEAST[k]
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[keep]), pa.array(batch.column(1).to_numpy()[keep])], ["a", "b"])
 
 
 def _sets(width: int):
@@ -155,56 +172,52 @@ class _Search:
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Confirmed links (a, b) among distinct pairs (a, b)."""
-        n = self.nodes.select("node", "n_shingles", "sketch")
+        pairs = materialise(pairs, "pairs")
+        used = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x")))
+        n = maybe_in(self.nodes.select("node", "n_shingles", "sketch"), "node", used, filter_bits(2 * pairs.count())).where("_maybe")
         a = n.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
         b = n.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
         both = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= 80 * greatest(na, nb)")
-        maybe = materialise(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_plausible, "a long, b long, sure boolean"), "plausible")
-        open_pairs = maybe.where("not sure").select("a", "b")
-        ids = open_pairs.select(F.col("a").alias("doc_id")).unionByName(open_pairs.select(F.col("b").alias("doc_id"))).distinct()
-        ids = materialise(ids, "open")
-        held = maybe_in(self.docs.select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id", ids, filter_bits(ids.count())).where("_maybe")
+        maybe = materialise(both.select("a", "b", "sa", "sb").mapInArrow(_plausible, "a long, b long"), "plausible")
+        discard(pairs)
+        return self.confirmed(maybe)
+
+    def confirmed(self, maybe: DataFrame) -> DataFrame:
+        """The pairs whose full sets have Jaccard 0.8 or more."""
+        ids = maybe.select(F.col("a").alias("doc_id")).unionByName(maybe.select(F.col("b").alias("doc_id")))
+        held = maybe_in(self.docs.select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id", ids, filter_bits(2 * maybe.count())).where("_maybe")
         sets = materialise(held.select("doc_id", "text").mapInArrow(_sets(self.width), "doc_id long, shingles binary"), "sets")
-        known = open_pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        found = known.select("a", "b", "sa", "sb").mapInArrow(_confirmed(80), "a long, b long")
-        return materialise(found.unionByName(maybe.where("sure").select("a", "b")).distinct(), "links")
-
-
-def _short(sketch):
-    """First values of a sketch, high halves only: the column as binary of uint32."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = [(np.frombuffer(s, np.uint64)[:_SHORT] >> np.uint64(32)).astype(np.uint32).tobytes() for s in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.binary())], ["node", "n_shingles", "short"])
-
-    return sketch.mapInArrow(run, "node long, n_shingles long, short binary")
+        known = maybe.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        found = materialise(known.select("a", "b", "sa", "sb").mapInArrow(_confirmed(80), "a long, b long"), "links")
+        discard(sets)
+        discard(maybe)
+        return found
 
 
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (x members, y members) of one list to pairs whose short sketches agree."""
-
-    def padded(rows: list[dict]) -> np.ndarray:
-        out = np.full((len(rows), _SHORT), np.iinfo(np.uint32).max, np.uint32)
-        for k, r in enumerate(rows):
-            v = np.frombuffer(r["short"], np.uint32)
-            out[k, : len(v)] = v
-        return out
-
+    """Blocks (x members, y members) of one list to pairs whose sketches agree."""
     for batch in batches:
-        made: set[tuple[int, int]] = set()
-        for xs, ys in zip(batch.column(0), batch.column(1)):
-            xs, ys = xs.as_py(), ys.as_py()
-            wide, ny = padded(ys), np.array([r["n_shingles"] for r in ys])
-            for x, row in zip(xs, padded(xs)):
-                fits = 100 * np.minimum(ny, x["n_shingles"]) >= 80 * np.maximum(ny, x["n_shingles"])
-                if fits.any():
-                    at = np.flatnonzero(fits)
-                    shared, k = union_estimate(np.broadcast_to(row, (len(at), _SHORT)), wide[at])
-                    for j in at[shared >= (0.8 - 6 * np.sqrt(0.16 / np.maximum(k, 1))) * k]:
+        for k in range(batch.num_rows):
+            made: set[tuple[int, int]] = set()
+            xs, ys = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            wide, ny = _padded([y["sketch"] for y in ys]), np.array([y["n_shingles"] for y in ys])
+            for x, row in zip(xs, _padded([x["sketch"] for x in xs])):
+                at = np.flatnonzero(100 * np.minimum(ny, x["n_shingles"]) >= 80 * np.maximum(ny, x["n_shingles"]))
+                if not len(at):
+                    continue
+                # Overlap of whole sketches bounds the shared values: a cheap test before the estimate.
+                at = at[np.isin(wide[at], row[row != _NONE]).sum(axis=1) >= _LEAST[min(K, x["n_shingles"])]]
+                if len(at):
+                    shared, n = union_estimate(np.broadcast_to(row, (len(at), K)), wide[at])
+                    for j in at[shared >= _LEAST[n]]:
                         if (y := ys[j]["node"]) != x["node"]:
                             made.add((min(x["node"], y), max(x["node"], y)))
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in made], pa.int64()), pa.array([p[1] for p in made], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in made], pa.int64()), pa.array([p[1] for p in made], pa.int64())], ["a", "b"])
+
+
+def _stars(labels: DataFrame) -> DataFrame:
+    """Known components as edges (a, b)."""
+    return labels.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def near_groups(docs: DataFrame, width: int = 2) -> DataFrame:
@@ -230,33 +243,38 @@ def near_groups(docs: DataFrame, width: int = 2) -> DataFrame:
 
     # Lists of three and more may hold links that the pivot did not show.
     several = members.where("n > 2").select("key", "node").unionByName(lists.where("n > 2").select("key", F.col("pivot").alias("node")))
-    for turn in range(PIVOT_ROUNDS + 1):
-        labels = components(links)
+    limit = WORK_PER_NODE * nodes.count()
+    labels = components(links)
+    for turn in range(MAX_PIVOT_ROUNDS + 1):
         labelled = several.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-        by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")).alias("p"))
-        main = by_label.groupBy("key").agg(F.max(F.struct("c", "label", F.col("p.node").alias("pivot"))).alias("m"), F.count("*").alias("labels"), F.sum("c").alias("n")).where("labels > 1")
+        by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("p"))
+        main = by_label.groupBy("key").agg(F.max(F.struct("c", "label", F.col("p").alias("pivot"))).alias("m"), F.count("*").alias("labels"), F.sum("c").alias("n")).where("labels > 1")
         main = materialise(main.select("key", "n", F.col("m.label").alias("main"), F.col("m.pivot").alias("pivot")), "main")
-        outside = materialise(labelled.join(main, "key").where("label != main"), "outside")
-        if outside.isEmpty():
+        outside = materialise(labelled.join(main, "key").where("label != main").select("key", "node", "n", "pivot"), "outside")
+        work = outside.agg(F.sum("n")).first()[0]
+        if not work:
             break
-        if turn < PIVOT_ROUNDS:
+        if work > limit and turn < MAX_PIVOT_ROUNDS:
             more = search.links(outside.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
-            if not more.isEmpty():
-                links = links.unionByName(more)
+            if more.isEmpty():
+                limit = work  # pivots find no more: what is left goes through blocks
                 continue
-        short = materialise(_short(nodes.select("node", "n_shingles", "sketch")), "short")
+            labels = components(_stars(labels).unionByName(more))
+            continue
         blocks = (F.col("n") / BLOCK).cast("int") + 1
-        item = F.struct("node", "n_shingles", "short")
+        held = F.struct("node", "n_shingles", "sketch")
+        own = nodes.select("node", "n_shingles", "sketch")
 
         def in_blocks(part: DataFrame, name: str) -> DataFrame:
-            part = part.join(short, "node").withColumn("blk", F.pmod(F.xxhash64("node"), blocks))
-            return part.groupBy("key", "blk").agg(F.collect_list(item).alias(name)).select("key", name)
+            part = part.join(own, "node").withColumn("blk", F.pmod(F.xxhash64("node"), blocks))
+            return part.groupBy("key", "blk").agg(F.collect_list(held).alias(name)).select("key", name)
 
         whole = in_blocks(several.join(main.select("key", "n"), "key"), "ys")
         met = in_blocks(outside.select("key", "node", "n"), "xs").join(whole, "key")
-        pairs = met.select("xs", "ys").mapInArrow(_block_pairs, "a long, b long").distinct()
-        links = links.unionByName(search.links(pairs))
-        labels = components(links)
+        pairs = materialise(met.select("xs", "ys").mapInArrow(_block_pairs, "a long, b long").distinct(), "met")
+        more = search.confirmed(pairs)
+        if not more.isEmpty():
+            labels = components(_stars(labels).unionByName(more))
         break
 
     same = known.groupBy("set_id", "n_shingles", low.alias("low")).agg(F.min("doc_id").alias("node"))
