@@ -1,21 +1,23 @@
-"""Command line: query, introspect, export, import over mapped tables or RDF files."""
+"""Command line: query, introspect, export, import and endpoint over mapped tables or RDF files."""
 
 from __future__ import annotations
 
 import argparse
+import threading
 
 from pyspark.sql import SparkSession
 
 from .session import GraphSession
-from .sources import rdf, results, tables
+from .sources import tables
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="graphloom")
-    p.add_argument("command", choices=("query", "introspect", "export", "import"))
+    p.add_argument("command", choices=("query", "introspect", "export", "import", "endpoint"))
     p.add_argument("text", nargs="?", help="query text, or the path to write to or read from")
     p.add_argument("--tables", required=True, help="folder of the Parquet tables")
-    p.add_argument("--format", choices=("table", "json", "xml"), default="table")
+    p.add_argument("--format", choices=("table", "json", "xml", "turtle", "trig", "json-ld"), default="table")
+    p.add_argument("--port", type=int, default=8080, help="of the endpoint")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
     session = GraphSession(spark, tables.dataset(spark, a.tables))
@@ -25,16 +27,19 @@ def main(argv: list[str] | None = None) -> None:
         for d in session.data.ontology.properties.values():
             print("property", session.namespaces.compress(d.iri), session.namespaces.compress(d.domain), session.namespaces.compress(d.range))
     elif a.command == "export":
-        rdf.turtle_lines(session.data.quads()).select("value").write.text(a.text)
+        session.export(a.text)
     elif a.command == "import":
-        session.load(rdf.read_quads(spark, a.text))
+        session.deserialize(a.text)
         print(session.data.stored.count(), "quads")
+    elif a.command == "endpoint":
+        from .endpoint import Endpoint
+
+        print(Endpoint(session, port=a.port).url)
+        threading.Event().wait()
+    elif a.format == "table":
+        session.query(a.text).show(100, False)
     else:
-        df = session.query(a.text)
-        if a.format == "table":
-            df.show(100, False)
-        else:
-            print(results.to_json(df) if a.format == "json" else results.to_xml(df))
+        print(session.serialize(a.text, a.format))
 
 
 if __name__ == "__main__":

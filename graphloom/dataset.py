@@ -39,7 +39,7 @@ class ClassTable:
     def subject(self) -> tuple[Column, T]:
         if self.key is None:
             return F.concat(F.lit("urn:bnode:"), F.sha2(F.to_json(F.struct(*self.df.columns)), 256)), IRI
-        return F.expr(self.key), T("key", self.prefix)
+        return F.expr(self.key), T("key", self.prefix, self.df.select(F.expr(self.key)).dtypes[0][1])
 
     def graph_column(self) -> Column:
         return F.lit(DEFAULT_GRAPH) if self.graph is None else F.expr(self.graph)

@@ -54,9 +54,10 @@ def number(a: Arg) -> Column:
 def constant(c: Column) -> str | None:
     """The text of a string literal column, None for anything else."""
     node = c._jc.node() if hasattr(c._jc, "node") else None
-    text = node.toString() if node is not None else ""
-    m = re.fullmatch(r"Literal\((.*),(?:Some|None).*\)", text, re.S)
-    return m[1] if m else None
+    if node is None or node.getClass().getSimpleName() != "Literal":
+        return None
+    value = node.value()
+    return value if isinstance(value, str) else None
 
 
 # -- strings

@@ -10,7 +10,9 @@ property.
 from __future__ import annotations
 
 import re
-from functools import reduce
+import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,13 +25,64 @@ K1, B = 1.2, 0.75
 _TEXTS = "array<struct<prop:string,weight:double,text:string>>"
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
+@dataclass(frozen=True)
+class Analysis:
+    """How texts and queries become words; all of it runs as JVM expressions.
 
+    ``stemmer`` is the S-stemmer: plural endings only. Words of digits alone go
+    with ``ignore_numbers``.
+    """
 
-def parse(text: str) -> tuple[list[str], list[list[str]]]:
+    unaccent: bool = False
+    stemmer: bool = False
+    ignore_numbers: bool = False
+    stop_words: tuple[str, ...] = ()
+
+    def words(self, text: Column) -> Column:
+        text = F.lower(text)
+        out = F.filter(F.split(F.translate(text, *_accents()) if self.unaccent else text, _SPLIT), lambda w: w != "")
+        if self.ignore_numbers:
+            out = F.filter(out, lambda w: ~F.rlike(w, F.lit("^[0-9]+$")))
+        if self.stop_words:
+            out = F.filter(out, lambda w: ~w.isin(*self.stop_words))
+        return F.transform(out, _stem) if self.stemmer else out
+
+    def of(self, text: str) -> list[str]:
+        """The same for a query's text."""
+        text = text.lower()
+        text = text.translate(str.maketrans(*_accents())) if self.unaccent else text
+        out = [w for w in re.split(r"[^\w]|_", text) if w and w not in self.stop_words and not (self.ignore_numbers and w.isdigit())]
+        return [_stemmed(w) for w in out] if self.stemmer else out
+
+
+@lru_cache
+def _accents() -> tuple[str, str]:
+    """Letters that are one ASCII letter with marks, and those letters."""
+    pairs = [(chr(k), unicodedata.normalize("NFKD", chr(k))[0]) for k in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(a, b) for a, b in pairs if b.isascii() and b.isalpha() and all(map(unicodedata.combining, unicodedata.normalize("NFKD", a)[1:]))]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def _stem(w: Column) -> Column:
+    cut = F.when(F.rlike(w, F.lit("[^ae]ies$")), F.regexp_replace(w, "ies$", "y")).when(F.rlike(w, F.lit("[^aeo]es$")), F.regexp_replace(w, "s$", ""))
+    return cut.when(F.rlike(w, F.lit("[^us]s$")) & ~F.rlike(w, F.lit("(ies|es)$")), F.regexp_replace(w, "s$", "")).otherwise(w)
+
+
+def _stemmed(w: str) -> str:
+    if re.search("[^ae]ies$", w):
+        return w[:-3] + "y"
+    if re.search("[^aeo]es$", w) or re.search("[^us]s$", w) and not re.search("(ies|es)$", w):
+        return w[:-1]
+    return w
+
+
+def analysis(c) -> Analysis:
+    return c.data.options.get("analysis") or Analysis()
+
+
+def parse(text: str, how: Analysis = Analysis()) -> tuple[list[str], list[list[str]]]:
     """Terms (the last may be a prefix) and phrases of a query text."""
-    cut = lambda s: [w for w in re.split(r"[^\w]|_", s.lower()) if w]
+    cut = how.of
     phrases = [cut(p) for p in re.findall(r'"([^"]*)"', text)]
     terms = cut(re.sub(r'"[^"]*"', " ", text))
     if not terms and not any(phrases):
@@ -63,17 +116,17 @@ def texts(c, scope) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def _tokens() -> Column:
+def _tokens(words) -> Column:
     return F.flatten(F.transform(F.filter("texts", lambda t: t["text"].isNotNull()), lambda t: words(t["text"])))
 
 
-def _condition(terms: list[str], phrases: list[list[str]]) -> Column:
+def _condition(words, terms: list[str], phrases: list[list[str]]) -> Column:
     cond = F.lit(True)
     for k, term in enumerate(terms):
         cond = cond & (F.exists("_words", _is(term, True)) if k == len(terms) - 1 else F.array_contains("_words", term))
     for p in phrases:
         inside = f" {' '.join(p)} "
-        cond = cond & F.exists("texts", _holds(inside))
+        cond = cond & F.exists("texts", _holds(words, inside))
     return cond
 
 
@@ -81,16 +134,17 @@ def _is(term: str, prefix: bool):
     return lambda w: _hit(w, term, prefix)
 
 
-def _holds(inside: str):
+def _holds(words, inside: str):
     return lambda t: F.contains(F.concat(F.lit(" "), F.array_join(words(F.coalesce(t["text"], F.lit(""))), " "), F.lit(" ")), F.lit(inside))
 
 
-def _weighted(term: str, prefix: bool):
+def _weighted(words, term: str, prefix: bool):
     return lambda a, t: a + F.coalesce(t["weight"] * F.size(F.filter(words(F.coalesce(t["text"], F.lit(""))), _is(term, prefix))), F.lit(0.0))
 
 
 def _matched(c, text: str, scope) -> DataFrame:
-    return texts(c, scope).withColumn("_words", _tokens()).where(_condition(*parse(text)))
+    how = analysis(c)
+    return texts(c, scope).withColumn("_words", _tokens(how.words)).where(_condition(how.words, *parse(text, how)))
 
 
 def search(c, text: str, scope) -> DataFrame:
@@ -107,19 +161,21 @@ def function(c, name: str, args: list, scope):
     text = getattr(c, "match_text", None)
     if text is None:
         raise ParseError(f"{name} needs a match in the same query")
-    terms, phrases = parse(text)
+    how = analysis(c)
+    words = how.words
+    terms, phrases = parse(text, how)
     every = terms + [w for p in phrases for w in p]
     prefixed = {len(terms) - 1} if terms else set()
     found = _matched(c, text, scope)
     if name == "rank":
-        rows = texts(c, scope).withColumn("_words", _tokens())
+        rows = texts(c, scope).withColumn("_words", _tokens(words))
         stats = [F.count("*").alias("_n"), F.avg(F.size("_words")).alias("_avg")]
         for k, w in enumerate(every):
             stats.append(F.sum(F.exists("_words", _is(w, k in prefixed)).cast("int")).alias(f"_df{k}"))
         total = rows.agg(*stats)  # one row
         score = F.lit(0.0)
         for k, w in enumerate(every):
-            tf = F.aggregate("texts", F.lit(0.0), _weighted(w, k in prefixed))
+            tf = F.aggregate("texts", F.lit(0.0), _weighted(words, w, k in prefixed))
             idf = F.log(1 + (F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5))
             score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("_words") / F.col("_avg")))
         return found.crossJoin(F.broadcast(total)).select("s", score.alias("v")), DOUBLE
@@ -156,9 +212,9 @@ def _any(w: Column, every: list[str], prefixed: set[int]) -> Column:
 def index(c, scope) -> DataFrame:
     """Postings (term, s, prop, tf, length) to store as a table of their own."""
     rows = texts(c, scope).select("s", F.explode("texts").alias("t")).where("t.text is not null")
-    rows = rows.select("s", F.col("t.prop").alias("prop"), words(F.col("t.text")).alias("w"))
+    rows = rows.select("s", F.col("t.prop").alias("prop"), analysis(c).words(F.col("t.text")).alias("w"))
     rows = rows.select("s", "prop", F.size("w").alias("length"), F.explode("w").alias("term"))
     return rows.groupBy("term", "s", "prop").agg(F.count("*").alias("tf"), F.any_value("length").alias("length"))
 
 
-__all__ = ["function", "index", "parse", "search"]
+__all__ = ["Analysis", "function", "index", "parse", "search"]

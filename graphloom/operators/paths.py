@@ -121,7 +121,7 @@ def _closure(c, inner, start, end) -> tuple[DataFrame, T, T]:
 
 def _constant(v, tv: T, t: T, term):
     if t.kind == "key":
-        return F.lit(term[1][len(t.prefix) :]).try_cast("bigint")
+        return F.lit(term[1][len(t.prefix) :]).try_cast(t.raw)
     return convert(v, tv, t)
 
 

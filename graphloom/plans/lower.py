@@ -7,6 +7,7 @@ rest is left to Catalyst and adaptive execution.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -63,9 +64,11 @@ class Scope:
 
 
 class Compiler:
-    def __init__(self, dataset: Dataset, params: dict | None = None, services: dict[str, Dataset] | None = None):
+    def __init__(self, dataset: Dataset, params: dict | None = None, services: dict | None = None):
         self.data, self.spark, self.onto = dataset, dataset.spark, dataset.ontology
         self.params, self.services = params or {}, services or {}
+        #: Keeps the blank nodes of two runs of one template apart.
+        self.salt = uuid.uuid4().hex
         self.allowed_services: frozenset[str] | None = None
         #: Prefixes that a bound variable's IRIs surely have, so that only their tables are read.
         self.hints: dict[str, set[str]] = {}
@@ -121,25 +124,40 @@ class Compiler:
             raise QueryFailed(f"parameter ~{name} has no value")
         return self.params[name]
 
+    def graph_rows(self, q: Query) -> DataFrame:
+        """A CONSTRUCT's or DESCRIBE's triples as quads with typed objects."""
+        scope = self.scope_of(q)
+        self.uses = None if q.star else _uses(q)
+        if q.form == "describe":
+            return self.described(q, scope).select("g", "s", "p", "o")
+        parts = [part.select(F.lit(DEFAULT_GRAPH).alias("g"), F.col("subject").alias("s"), F.col("predicate").alias("p"), F.col("object").alias("o")) for part in self.constructed(q, scope, to_term)]
+        return reduce(DataFrame.union, parts).distinct()
+
     def construct(self, q: Query, scope: Scope) -> DataFrame:
+        return reduce(DataFrame.union, self.constructed(q, scope, to_lex)).distinct()
+
+    def constructed(self, q: Query, scope: Scope, told) -> list[DataFrame]:
         sol = self.modified(q, self.group(q.where, scope))
         parts = []
         for s, p, o, _ in (t if len(t) == 4 else (*t, None) for t in q.template):
             cols = []
             for term, name in ((s, "subject"), (p[1:] and (("iri", p[1]) if p[0] == "p" else p), "predicate"), (o, "object")):
                 c, t = self.template_term(term, sol)
-                cols.append(to_lex(c, t).alias(name))
+                cols.append((told if name == "object" else to_lex)(c, t).alias(name))
             part = sol.df.select(*cols)
             parts.append(part.where(F.col("subject").isNotNull() & F.col("predicate").isNotNull() & F.col("object").isNotNull()).distinct())
-        return reduce(DataFrame.union, parts).distinct()
+        return parts
 
     def template_term(self, term, sol: Sol) -> tuple[Column, T]:
         if term[0] == "bnode":
             every = [F.coalesce(to_lex(sol.col(v), sol.type(v)), F.lit("\x00")) for v in sorted(sol.vars)]
-            return F.concat(F.lit("urn:bnode:"), F.md5(F.concat_ws("\x01", F.lit(term[1]), *every))), IRI
+            return F.concat(F.lit("urn:bnode:"), F.md5(F.concat_ws("\x01", F.lit(self.salt + term[1]), *every))), IRI
         return self.term(term, sol)
 
     def describe(self, q: Query, scope: Scope) -> DataFrame:
+        return self.described(q, scope).select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o.lex").alias("object"), F.col("g").alias("graph"))
+
+    def described(self, q: Query, scope: Scope) -> DataFrame:
         subjects = []
         sol = self.modified(q, self.group(q.where, scope)) if q.where else None
         for r in q.resources:
@@ -153,8 +171,7 @@ class Compiler:
             raise ParseError("nothing to describe")
         wanted = reduce(DataFrame.union, subjects).where("s is not null").distinct()
         rows = self.quads(replace(scope, graph=None))
-        rows = rows.join(wanted, "s", "left_semi")
-        return rows.select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o.lex").alias("object"), F.col("g").alias("graph"))
+        return rows.join(wanted, "s", "left_semi")
 
     def select(self, q: Query, scope: Scope) -> tuple[Sol, list[str]]:
         outer, self.hints = self.hints, {}
@@ -394,7 +411,8 @@ class Compiler:
             sol = join(sol, Sol(names, {term[1]: (column, IRI)}, frozenset([term[1]])))
         return sol
 
-    def service(self, silent: bool, term, elements: list) -> Sol:
+    def service(self, silent: bool, term, elements: list, text: str) -> Sol:
+        """Another dataset's solutions, or a remote endpoint's for the group as a query text."""
         try:
             if term[0] == "var":
                 raise Unsupported("SERVICE with a variable")
@@ -403,7 +421,12 @@ class Compiler:
                 raise QueryFailed(f"service {iri} is not allowed")
             if iri not in self.services:
                 raise QueryFailed(f"no service {iri}")
-            return Compiler(self.services[iri], self.params, self.services).group(elements, Scope()).renamed()
+            held = self.services[iri]
+            if isinstance(held, Dataset):
+                return Compiler(held, self.params, self.services).group(elements, Scope()).renamed()
+            df = held.terms(self.spark, text)
+            out = {v: (fresh(v), TERM) for v in df.columns if v != "unit"}
+            return Sol(df.toDF(*(out[v][0] if v in out else fresh("unit") for v in df.columns)), out, frozenset())
         except (QueryFailed, Unsupported):
             if silent:
                 return self.unit()
@@ -565,8 +588,7 @@ class Compiler:
                     if not term[1].startswith(t.prefix):
                         df = df.where(F.lit(False))
                     else:
-                        kind = dict(df.select(c.alias("k")).dtypes)["k"]
-                        df = df.where(c == F.lit(term[1][len(t.prefix) :]).try_cast(kind))
+                        df = df.where(c == F.lit(term[1][len(t.prefix) :]).try_cast(t.raw))
                 else:
                     df = df.where(equal(c, t, v, tv))
         return Sol(df.select(*cols) if cols else df.select(F.lit(1).alias(fresh("unit"))), out, frozenset(out))
@@ -724,6 +746,8 @@ class Compiler:
                 return ("term", ("var", name))
             if x and x[0] == "call" and x[1] in self.onto.properties and len(x[2]) == 1:
                 return self.property_call(x, state, scope)
+            if x and x[0] == "call" and x[1] == GL + "uri" and len(x[2]) == 1:
+                return self.uri_call(x, state, scope)
             if x and x[0] == "call" and x[1].startswith(FTS):
                 return self.fts_call(x, state, scope)
             return tuple(walk(y) for y in x)
@@ -748,6 +772,17 @@ class Compiler:
         state[0] = join(state[0], Sol(df, {arg[1][1]: (s, ts), name: (v, to)}, frozenset([arg[1][1]])), "left")
         return ("term", ("var", name))
 
+    def uri_call(self, x, state: list[Sol], scope: Scope):
+        """The IRI of an id: a join with the ids of the graph's resources."""
+        c, t = self.expr(x[2][0], state[0], scope)
+        wanted, found, name = fresh("id"), fresh("id"), fresh("uri")
+        q = self.quads(replace(scope, graph=None))
+        nodes = q.select(F.col("s").alias("n")).union(q.where(F.col("o.kind").isin("iri", "bnode")).select("o.lex")).distinct()
+        ids, _ = builtins.build(GL + "id", [(F.col("n"), IRI)])
+        df = state[0].df.withColumn(wanted, convert(c, t, INTEGER)).join(nodes.select(ids.alias(found), F.col("n").alias(name)), F.col(wanted) == F.col(found), "left")
+        state[0] = Sol(df, state[0].vars | {f".{name}": (name, IRI)}, state[0].bound)
+        return ("term", ("var", f".{name}"))
+
     def fts_call(self, x, state: list[Sol], scope: Scope):
         var = x[2][0][1][1]
         constants = [a[1][1] if a[0] == "term" and a[1][0] == "lit" else None for a in x[2][1:]]
@@ -794,7 +829,7 @@ class Compiler:
         """Equality; a key column against an IRI constant compares raw keys."""
         for (c, t), (d, u) in ((a, b), (b, a)):
             if t.kind == "key" and u is IRI and (text := builtins.constant(d)) is not None:
-                return c == F.lit(text[len(t.prefix) :]).try_cast("bigint") if text.startswith(t.prefix) else c.isNull() & c.isNotNull()
+                return c == F.lit(text[len(t.prefix) :]).try_cast(t.raw) if text.startswith(t.prefix) else c.isNull() & c.isNotNull()
         return equal(*a, *b)
 
     @staticmethod
@@ -812,8 +847,6 @@ class Compiler:
         if name == FN + "string-join":
             items = args[0][1] if args[0][0] == "list" else [args[0]]
             return builtins.string_join([self.expr(x, sol, scope) for x in items], self.expr(args[1], sol, scope))
-        if name == GL + "uri":
-            raise Unsupported("uri() needs a resource table; use id() to compare")
         return builtins.build(name, [self.expr(x, sol, scope) for x in args])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ _ids = itertools.count()
 
 def fresh(name: str) -> str:
     """A column name that no other column of any plan has."""
-    return f"{name}__{next(_ids)}"
+    return f"{re.sub(r'[^A-Za-z0-9_]', '_', name)}__{next(_ids)}"
 
 
 @dataclass

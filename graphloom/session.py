@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .dataset import Dataset
-from .errors import ConstraintViolation, QueryFailed
+from .errors import ConstraintViolation, QueryFailed, Unsupported
 from .ontology import Ontology
+from .operators.fts import Analysis
 from .parser.ast import Query
 from .parser.grammar import Parser
 from .plans.lower import Compiler
+from .resource import Resource
 from .vocab import PREFIXES
 
 
 @dataclass(frozen=True)
 class Options:
     read_only: bool = False
-    anonymous_bnodes: bool = False
+    #: How full-text search reads texts and queries.
+    analysis: Analysis = Analysis()
 
 
 class Namespaces:
@@ -55,9 +58,10 @@ class Statement:
 
 
 class GraphSession:
-    def __init__(self, spark: SparkSession, data: Dataset | Ontology, services: dict[str, Dataset] | None = None, options: Options = Options()):
+    def __init__(self, spark: SparkSession, data: Dataset | Ontology, services: dict | None = None, options: Options = Options()):
         self.spark = spark
-        self.data = data if isinstance(data, Dataset) else Dataset(spark, data)
+        data = data if isinstance(data, Dataset) else Dataset(spark, data)
+        self.data = replace(data, options=data.options | {"analysis": options.analysis})
         self.services, self.options = services or {}, options
         self.namespaces = Namespaces(self.data.ontology.prefixes)
         self.listeners: list = []
@@ -89,6 +93,42 @@ class GraphSession:
                 data = apply(data, u, params, self.services)
         self.publish(before, data)
 
+    def update_resource(self, resource: Resource, graph: str | None = None) -> None:
+        self.update(resource.update(graph))
+
+    def batch(self) -> Batch:
+        return Batch(self)
+
+    def graph_rows(self, text: str, **params) -> DataFrame:
+        """Quads (g, s, p, o) of a DESCRIBE, or of a CONSTRUCT in the default graph."""
+        q = self.parse(text)
+        if q.form not in ("describe", "construct"):
+            raise Unsupported("only DESCRIBE and CONSTRUCT give a graph")
+        return self.compiler(params).graph_rows(q)
+
+    def serialize(self, text: str, fmt: str = "turtle", **params) -> str:
+        """A graph as a Turtle, TriG or JSON-LD document, or a table as JSON or XML results."""
+        from .sources import rdf, results
+
+        if fmt in ("json", "xml"):
+            return (results.to_json if fmt == "json" else results.to_xml)(self.query(text, **params))
+        writer = {"turtle": rdf.to_turtle, "trig": rdf.to_trig, "json-ld": rdf.to_jsonld}.get(fmt)
+        if writer is None:
+            raise Unsupported(f"no writer for {fmt}")
+        return writer([tuple(r) for r in self.graph_rows(text, **params).collect()])
+
+    def deserialize(self, path: str, graph: str | None = None) -> None:
+        """Adds every document under a path or glob; formats go by file name."""
+        from .sources.rdf import read_quads
+
+        self.load(read_quads(self.spark, path, graph))
+
+    def export(self, path: str, text: str | None = None) -> None:
+        """Writes the data, or a query's graph, as Turtle lines where the rows are."""
+        from .sources.rdf import turtle_lines
+
+        turtle_lines(self.graph_rows(text) if text else self.data.quads()).select("value").write.text(path)
+
     def load(self, quads: DataFrame) -> None:
         """Adds parsed RDF; classes that properties imply are added too."""
         from .update import inserted
@@ -110,4 +150,40 @@ class GraphSession:
         return changes
 
 
-__all__ = ["GraphSession", "Namespaces", "Options", "Statement", "ConstraintViolation"]
+class Batch:
+    """Updates, resources and documents collected, then published as one snapshot."""
+
+    def __init__(self, session: GraphSession):
+        self.session = session
+        self.steps: list = []
+
+    def add_update(self, text: str, **params) -> Batch:
+        self.steps.append(("update", text, params))
+        return self
+
+    def add_resource(self, resource: Resource, graph: str | None = None) -> Batch:
+        return self.add_update(resource.update(graph))
+
+    def add_rdf(self, path: str, graph: str | None = None) -> Batch:
+        self.steps.append(("rdf", path, graph))
+        return self
+
+    def execute(self) -> None:
+        from .sources.rdf import read_quads
+        from .update import apply, inserted
+
+        s = self.session
+        if s.options.read_only:
+            raise QueryFailed("the session is read-only")
+        data = s.data
+        for kind, what, more in self.steps:
+            if kind == "rdf":
+                data = inserted(data, read_quads(s.spark, what, more), implicit=True)
+                continue
+            for u in Parser(what, s.namespaces.prefixes).updates():
+                data = apply(data, u, more, s.services)
+        self.steps = []
+        s.publish(s.data, data)
+
+
+__all__ = ["Batch", "GraphSession", "Namespaces", "Options", "Statement", "ConstraintViolation"]

@@ -17,7 +17,7 @@ _CLASSES = {"Region": "region", "Nation": "nation", "Customer": "customer", "Sup
 
 
 def key(name: str) -> T:
-    return T("key", f"{BASE}{_CLASSES[name]}/")
+    return T("key", f"{BASE}{_CLASSES[name]}/", "string" if name == "Turn" else "bigint")
 
 
 #: table: (class, key expression, {property: (expression, type)}, graph expression)

@@ -9,7 +9,7 @@ Only where the type varies by row is it a ``term``: struct kind, lex, lang.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,8 +20,11 @@ from .vocab import INTEGERS, RDF, XSD
 
 @dataclass(frozen=True)
 class T:
+    """``raw`` is the SQL type of a raw key; it follows from the prefix."""
+
     kind: str
     prefix: str = ""
+    raw: str = field(default="bigint", compare=False)
 
     @property
     def numeric(self) -> bool:

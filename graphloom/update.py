@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dataset import QUAD_SQL, Dataset
-from .errors import ConstraintViolation, GraphError, ParseError, UnknownGraph, UnknownProperty
+from .errors import ConstraintViolation, GraphError, ParseError, TypeMismatch, UnknownGraph, UnknownProperty
 from .parser.ast import Update
 from .plans.lower import Compiler, Scope
 from .runtime import materialise
-from .terms import TERM_SQL, to_lex, to_term
+from .terms import TERM_SQL, parse_datetime, to_lex, to_term
 from .vocab import DEFAULT_GRAPH, ONT, RDF, RDFS
 
 _KEY = ["g", "s", "p", "o"]
@@ -187,8 +187,12 @@ def inserted(data: Dataset, quads: DataFrame, implicit: bool = False) -> Dataset
         if strange:
             raise UnknownProperty(strange["p"])
     quads = quads.where(F.col("p").isin(*known))
-    wider = data.spark.createDataFrame([(p, q) for p in onto.properties for q in onto.superproperties(p)], "p string, q string")
-    values = quads.where(F.col("p") != RDF + "type").join(F.broadcast(wider), "p").select("g", "s", F.col("q").alias("p"), "o")
+    wider = data.spark.createDataFrame([(p, q, onto.properties[q].type.kind) for p in onto.properties for q in onto.superproperties(p)], "p string, q string, kind string")
+    values = quads.where(F.col("p") != RDF + "type").join(F.broadcast(wider), "p").select("g", "s", F.col("q").alias("p"), _ranged(F.col("o"), F.col("kind")).alias("o"))
+    strange = values.where("o is null").first() if not implicit else None
+    if strange:
+        raise TypeMismatch(f"{strange['s']} has a value outside the range of {strange['p']}")
+    values = values.where("o is not null")
     up = data.spark.createDataFrame([(c, d) for c in onto.classes for d in onto.superclasses(c)], "c string, d string")
     types = quads.where(F.col("p") == RDF + "type").select("g", "s", F.col("o.lex").alias("c"))
     domains = data.spark.createDataFrame([(p.iri, p.domain) for p in onto.properties.values()], "p string, c string")
@@ -204,6 +208,26 @@ def inserted(data: Dataset, quads: DataFrame, implicit: bool = False) -> Dataset
     return out
 
 
+def _ranged(o, kind):
+    """A value as its property's range has it; null where it cannot be.
+
+    Text becomes a number, truth value or date; whole numbers become doubles;
+    strings and tagged strings stay what they are.
+    """
+    k, lex = o["kind"], o["lex"]
+    fits = (k == kind) | k.isin("iri", "bnode") & (kind == "iri") | k.isin("string", "lang") & kind.isin("string", "lang")
+    read = (
+        F.when(kind == "integer", F.coalesce(lex.try_cast("bigint"), F.when(lex.try_cast("double") == F.floor(lex.try_cast("double")), lex.try_cast("double").try_cast("bigint"))).cast("string"))
+        .when(kind == "double", F.when(lex.try_cast("double").isNotNull(), lex))
+        .when(kind == "boolean", F.when(F.lower(lex).isin("true", "1"), "true").when(F.lower(lex).isin("false", "0"), "false"))
+        .when(kind == "date", F.when(F.substring(lex, 1, 10).try_cast("date").isNotNull(), F.substring(lex, 1, 10)))
+        .when(kind == "dateTime", F.when(parse_datetime(lex).isNotNull(), lex))
+        .when(kind.isin("string", "lang") & ~k.isin("iri", "bnode"), lex)
+    )
+    read = F.when(~k.isin("iri", "bnode"), read)
+    return F.when(fits, o).when(read.isNotNull(), F.struct(kind.alias("kind"), read.alias("lex"), F.lit(None).cast("string").alias("lang")))
+
+
 def check(data: Dataset, needed: DataFrame | None = None) -> None:
     """Raises where a single-valued or unique property has more, or a subject lacks its domain class."""
     onto, q = data.ontology, data.stored
