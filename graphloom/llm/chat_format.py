@@ -159,11 +159,11 @@ def format_turns(conversations: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """One row a turn: conv_id, turn, role, text, formatted, content_start,
     content_end, in_loss, attachments.
 
-    With a column ``parts`` of PARTS_SCHEMA its parts are the content, else the
-    text is. Attachments are numbered within the turn. No shuffle.
+    With a column ``parts`` of PARTS_SCHEMA its parts are the content, else (and
+    where it is null) the text is; a column of that name and another type is ignored. Attachments are numbered within the turn. No shuffle.
     """
     ship_package(conversations.sparkSession)
-    parts = F.col("parts").cast(PARTS_SCHEMA) if "parts" in conversations.columns else F.lit(None).cast(PARTS_SCHEMA)
+    parts = F.col("parts").cast(PARTS_SCHEMA) if dict(conversations.dtypes).get("parts", "").startswith("array<struct<kind:") else F.lit(None).cast(PARTS_SCHEMA)
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), parts.alias("parts"))
     kinds = {n: rows.schema[n].dataType.simpleString() for n in ("conv_id", "turn")}
 

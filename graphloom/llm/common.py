@@ -109,8 +109,16 @@ def _place(key, bits: int):
     return F.shiftright(h, 15).cast("int"), F.pmod(h, F.lit(BITMAP_BITS)).cast("long")
 
 
-def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int) -> DataFrame:
-    """``df`` with a boolean ``_maybe``: false only where ``key`` is surely not in ``keys``.
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, as no column of ``df`` is called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int, flag: str = "_maybe") -> DataFrame:
+    """``df`` with a boolean ``flag``: false only where ``key`` is surely not in ``keys``.
 
     A one-hash Bloom filter out of native bitmaps of 4 KB each; at most
     ``bits / 32768`` of them exist, so the broadcast has a fixed bound whatever
@@ -121,10 +129,12 @@ def maybe_in(df: DataFrame, key: str, keys: DataFrame, bits: int) -> DataFrame:
     maps = keys.select(bucket.alias("_bucket"), bit.alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
     maps = maps.select("_bucket", F.expr("transform(sequence(0, 1023), i -> cast(conv(hex(substring(_map, i * 4 + 1, 4)), 16, 10) as bigint))").alias("_map"))
     bucket, bit = _place(F.col(key), bits)
+    at, in_map, words = unused(df, "_bucket"), unused(df, "_bit"), unused(df, "_map")
+    maps = maps.select(F.col("_bucket").alias(at), F.col("_map").alias(words))
     # Four bytes a word, first byte highest; within a byte the lowest bit comes first.
-    hit = F.expr("(shiftright(_map[cast(shiftright(_bit, 5) as int)], cast((3 - (shiftright(_bit, 3) & 3)) * 8 + (_bit & 7) as int)) & 1) = 1")
-    out = df.withColumn("_bucket", bucket).withColumn("_bit", bit).join(F.broadcast(maps), "_bucket", "left")
-    return out.withColumn("_maybe", F.coalesce(hit, F.lit(False))).select(*df.columns, "_maybe")
+    hit = F.expr(f"(shiftright({words}[cast(shiftright({in_map}, 5) as int)], cast((3 - (shiftright({in_map}, 3) & 3)) * 8 + ({in_map} & 7) as int)) & 1) = 1")
+    out = df.withColumn(at, bucket).withColumn(in_map, bit).join(F.broadcast(maps), at, "left")
+    return out.select(*(out[f"`{c}`"] for c in df.columns), F.coalesce(hit, F.lit(False)).alias(flag))
 
 
 def rows_without(docs: DataFrame, dropped: DataFrame, bits: int) -> DataFrame:
@@ -133,9 +143,11 @@ def rows_without(docs: DataFrame, dropped: DataFrame, bits: int) -> DataFrame:
     The bounded filter splits ``docs``: rows surely not in ``dropped`` pass
     without a shuffle, only the rest meets the exact anti join.
     """
-    marked = maybe_in(docs, "doc_id", dropped, bits)
-    rest = marked.where("_maybe").drop("_maybe").join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    return marked.where(~F.col("_maybe")).drop("_maybe").unionByName(rest)
+    flag = unused(docs, "_maybe")
+    marked = maybe_in(docs, "doc_id", dropped, bits, flag)
+    own = [f"`{c}`" for c in docs.columns]
+    rest = marked.where(flag).drop(flag).join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*own)
+    return marked.where(~F.col(flag)).select(*own).unionByName(rest)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

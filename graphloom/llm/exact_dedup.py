@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, filter_bits, materialise, maybe_in, rows_without, ship_package
+from .common import SPACES, filter_bits, materialise, maybe_in, rows_without, ship_package, unused
 
 #: Fingerprints that one segment's merge should hold.
 PER_SEGMENT = 1 << 20
@@ -189,11 +189,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     bits = filter_bits(gone.count())
     kept = rows_without(docs.where("doc_id is not null"), gone.select("doc_id"), bits)
     # Rows repeated under one doc_id, and rows without one: few, settled by their text.
-    again = maybe_in(docs, "doc_id", gone.where("any").select("doc_id"), bits).where("_maybe").drop("_maybe").join(gone.where("any").select("doc_id"), "doc_id", "left_semi")
-    rest = again.unionByName(docs.where("doc_id is null"))
+    flag, copy, sha, own_id, own_sha = (unused(docs, n) for n in ("_maybe", "_copy", "_sha", "_own_id", "_own_sha"))
+    own = [f"`{c}`" for c in docs.columns]
+    again = maybe_in(docs, "doc_id", gone.where("any").select("doc_id"), bits, flag).where(flag).join(gone.where("any").select("doc_id"), "doc_id", "left_semi")
+    rest = again.select(*own).unionByName(docs.where("doc_id is null"))
     norm = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACES, "")
     one = Window.partitionBy("doc_id", F.sha2(norm, 256)).orderBy(F.desc(F.length("text")))
-    rest = rest.withColumn("_copy", F.row_number().over(one)).where("_copy = 1").withColumn("_sha", F.sha2(norm, 256))
-    keepers = told.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    rest = rest.join(keepers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    return kept.unionByName(rest.select(*docs.columns))
+    rest = rest.withColumn(copy, F.row_number().over(one)).where(F.col(copy) == 1).withColumn(sha, F.sha2(norm, 256))
+    keepers = told.where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha)).distinct()
+    rest = rest.join(keepers, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(own_sha)), "left_semi")
+    return kept.unionByName(rest.select(*own))
