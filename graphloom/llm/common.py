@@ -11,8 +11,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,16 +152,51 @@ def rows_without(docs: DataFrame, dropped: DataFrame, bits: int) -> DataFrame:
     return marked.where(~F.col(flag)).select(*own).unionByName(rest)
 
 
+#: Edges that one task contracts: 16 MB as numbers.
+LOCAL_EDGES = 1_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars: each node with the smallest it reaches there."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (above := up.get(top, top)) != top:
+            top = above
+        while x != top:
+            up[x], x = top, up.get(x, x)
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            p, q = root(u), root(v)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+    stars = [(x, root(x)) for x in list(up)]
+    stars = [(x, r) for x, r in stars if x != r]
+    for k in range(0, len(stars), 100_000):
+        part = stars[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph: DataFrame ``node, component``.
 
-    ``component`` is the smallest node reached. Alternating large and small
-    stars: each round joins the edges with the minimum neighbour of each node,
-    so a hub of any degree is a skewed join that AQE splits, never a list.
-    Nodes without an edge to another node are absent.
+    ``component`` is the smallest node reached. Each task first contracts the
+    edges that it holds to stars; up to ``LOCAL_EDGES`` of them fit one task and
+    are then done. Beyond that bound, large and small stars alternate: each
+    round joins the edges with the minimum neighbour of each node, so a hub of
+    any degree is a skewed join that AQE splits, never a list. Nodes without an
+    edge to another node are absent.
     """
-    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     e = materialise(e, "edges")
+    tasks = -(-e.count() // LOCAL_EDGES)
+    if tasks:
+        e = materialise(e.repartition(tasks).mapInArrow(_forest, "u long, v long"), "forest")
+    if tasks <= 1:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
     for _ in range(max_rounds):
         # Stars already: each u has one v, and no v is a u.
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("n")))

@@ -12,10 +12,10 @@
 3. Each list tests its members against one pivot, so a list of n members
    gives n - 1 pairs and a hot one is a skewed join, never all pairs. The
    union-sketch estimate filters pairs; survivors are confirmed on full sets.
-4. Lists that still hold several components go on: every member outside the
-   list's largest component meets the whole list in blocks. Where that would
-   be much work, further pivots from that component come first, which shrinks
-   what is outside. No member is dropped either way.
+4. Lists that still hold several components go on in blocks: members of
+   different components are compared, each pair in one list only. Where that
+   would be much work, further pivots from a list's largest component come
+   first, which joins more members to it. No member is dropped either way.
 5. Connected components over confirmed links.
 
 Defined cases: a null or empty text has no set and links with nothing; fewer
@@ -38,12 +38,13 @@ from xxhash import xxh3_64_intdigest
 from .common import components, discard, filter_bits, materialise, maybe_in, rows_without, ship_package
 from .wordhash import gram_hashes, shingle_set
 
-K = 64
+#: Retained values: the first ``K`` make the list keys, all ``WIDE`` the estimate.
+K, WIDE = 64, 256
 #: Members of a block of a list that are compared at once.
 BLOCK = 128
 #: Comparisons a node, on average, up to which lists are finished in blocks;
 #: above, further pivots come first. Either way every member is compared.
-WORK_PER_NODE = 300
+WORK_PER_NODE = 2000
 MAX_PIVOT_ROUNDS = 12
 
 
@@ -57,41 +58,48 @@ def _sketches(width: int):
                     s = shingle_set(t.as_py(), width)
                     n.append(len(s))
                     ids.append(xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                    kept.append((s[:K] >> np.uint64(32)).astype(np.uint32).tobytes())
+                    kept.append((s[:WIDE] >> np.uint64(32)).astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "set_id", "sketch"])
 
     return run
 
 
-def list_keys(sketch: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the inverted lists that a set of ``n`` shingles joins.
+_NO_KEY = np.uint64(2**64 - 1)
+
+
+def list_keys(sketches: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """By row, keys of the inverted lists that a set of ``n`` shingles joins, else _NO_KEY.
 
     Sets of up to 3 link only with equal sets. Runs of 2, 3 and 4 serve sizes
     up to 5, up to 40 and from 33: any linked pair has one of them in common.
     """
-    out = []
+    values, n, out = sketches[:, :K].astype(np.uint64), n[:, None], []
     for run, low, high in ((2, 4, 5), (3, 4, 40), (4, 33, None)):
-        if n >= low and (high is None or n <= high):
-            out.append(gram_hashes(sketch, run) ^ np.uint64(run))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+        rows = (n >= low) & (n <= (high or n))
+        if rows.any():
+            keys = gram_hashes(values[:, : min(K, high or K)], run) ^ np.uint64(run)
+            out.append(np.where(rows & (np.arange(keys.shape[1]) + run <= n), keys, _NO_KEY))
+    return np.concatenate(out, axis=1) if out else np.zeros((len(n), 0), np.uint64)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             batch = whole.slice(at, 2000)
-            keys = [list_keys(np.frombuffer(s, np.uint32).astype(np.uint64), n) for n, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)), pa.array(nodes)], ["key", "node"])
+            keys = np.sort(list_keys(_padded(batch.column(2).to_pylist(), K), batch.column(1).to_numpy()), axis=1)
+            first = keys != _NO_KEY
+            first[:, 1:] &= keys[:, 1:] != keys[:, :-1]
+            nodes = np.repeat(batch.column(0).to_numpy(), first.sum(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(nodes)], ["key", "node"])
 
 
 _NONE = np.iinfo(np.uint32).max
 
 
-def _padded(blobs: list[bytes]) -> np.ndarray:
-    out = np.full((len(blobs), K), _NONE, np.uint32)
+def _padded(blobs: list[bytes], width: int = WIDE) -> np.ndarray:
+    out = np.full((len(blobs), width), _NONE, np.uint32)
     for k, b in enumerate(blobs):
-        v = np.frombuffer(b, np.uint32)
+        v = np.frombuffer(b, np.uint32, min(width, len(b) // 4))
         out[k, : len(v)] = v
     return out
 
@@ -99,8 +107,8 @@ def _padded(blobs: list[bytes]) -> np.ndarray:
 def _least_shared() -> np.ndarray:
     """For k values of a union, the fewest shared ones that Jaccard 0.8 still
     gives but once in a million: least c with P(Binomial(k, 0.8) < c) > 1e-6."""
-    out = np.zeros(2 * K + 1, np.int64)
-    for k in range(1, 2 * K + 1):
+    out = np.zeros(2 * WIDE + 1, np.int64)
+    for k in range(1, 2 * WIDE + 1):
         below = 0.0
         for c in range(k + 1):
             below += comb(k, c) * 0.8**c * 0.2 ** (k - c)
@@ -113,8 +121,9 @@ def _least_shared() -> np.ndarray:
 _LEAST = _least_shared()
 
 
-def union_estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row by row: how many of the k smallest values of the union are in both, and k."""
+def union_estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row by row: how many of the k smallest values of the union are in both, k,
+    and whether k is all of the union."""
     s = np.sort(np.concatenate([a, b], axis=1), axis=1)
     real = s != np.iinfo(s.dtype).max
     first = real.copy()
@@ -126,16 +135,25 @@ def union_estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     k = np.minimum(rank[:, -1], bound)
     both = np.zeros_like(real)
     both[:, 1:] = (s[:, 1:] == s[:, :-1]) & real[:, 1:]
-    return (both & (rank <= k[:, None])).sum(axis=1), k
+    return (both & (rank <= k[:, None])).sum(axis=1), k, np.maximum(*full) < a.shape[1]
+
+
+def plausible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, whether two sketches may be those of a link.
+
+    Sketches that hold whole sets give the overlap itself; two shingles more
+    are allowed for halves of hashes that coincide.
+    """
+    shared, k, whole = union_estimate(a, b)
+    return np.where(whole, 100 * (shared + 2) >= 80 * k, shared >= _LEAST[k])
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with both sketches to those that may be links."""
     for whole in batches:
-        for at in range(0, whole.num_rows, 20_000):
-            batch = whole.slice(at, 20_000)
-            shared, k = union_estimate(_padded(batch.column(2).to_pylist()), _padded(batch.column(3).to_pylist()))
-            keep = shared >= _LEAST[k]
+        for at in range(0, whole.num_rows, 4000):
+            batch = whole.slice(at, 4000)
+            keep = plausible(_padded(batch.column(2).to_pylist()), _padded(batch.column(3).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[keep]), pa.array(batch.column(1).to_numpy()[keep])], ["a", "b"])
 
 
@@ -194,25 +212,57 @@ class _Search:
         return found
 
 
+def _overlaps(a: np.ndarray, b: np.ndarray, none) -> np.ndarray:
+    """For each row of ``a`` and each of ``b``, how many values but ``none`` are in both."""
+    values, where = np.unique(np.concatenate([a.ravel(), b.ravel()]), return_inverse=True)
+    sides = where[: a.size], where[a.size :]
+    held = [np.zeros(len(values), bool) for _ in sides]
+    for h, w in zip(held, sides):
+        h[w] = True
+    common = held[0] & held[1] & (values != none)
+    column, width = np.cumsum(common) - 1, int(common.sum())
+    out = []
+    for rows, w in zip((len(a), len(b)), sides):
+        m = np.zeros((rows, width), np.float32)
+        hit = common[w]
+        m[np.repeat(np.arange(rows), a.shape[1])[hit], column[w[hit]]] = 1
+        out.append(m)
+    return out[0] @ out[1].T
+
+
+def _members(column, k: int):
+    """Nodes, labels, set sizes and padded sketches of one block."""
+    part = column[k].values
+    return *(part.field(f).to_numpy(zero_copy_only=False) for f in ("node", "label", "n_shingles")), _padded(part.field("sketch").to_pylist())
+
+
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (x members, y members) of one list to pairs whose sketches agree."""
+    """Two blocks of one list (key, i, xs, j, ys; i <= j) to the pairs that may link
+    two components.
+
+    Members of one component are known to be connected already. A pair that
+    shares several lists is told in the one with the smallest key only.
+    """
     for batch in batches:
         for k in range(batch.num_rows):
-            made: set[tuple[int, int]] = set()
-            xs, ys = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-            wide, ny = _padded([y["sketch"] for y in ys]), np.array([y["n_shingles"] for y in ys])
-            for x, row in zip(xs, _padded([x["sketch"] for x in xs])):
-                at = np.flatnonzero(100 * np.minimum(ny, x["n_shingles"]) >= 80 * np.maximum(ny, x["n_shingles"]))
-                if not len(at):
-                    continue
-                # Overlap of whole sketches bounds the shared values: a cheap test before the estimate.
-                at = at[np.isin(wide[at], row[row != _NONE]).sum(axis=1) >= _LEAST[min(K, x["n_shingles"])]]
-                if len(at):
-                    shared, n = union_estimate(np.broadcast_to(row, (len(at), K)), wide[at])
-                    for j in at[shared >= _LEAST[n]]:
-                        if (y := ys[j]["node"]) != x["node"]:
-                            made.add((min(x["node"], y), max(x["node"], y)))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in made], pa.int64()), pa.array([p[1] for p in made], pa.int64())], ["a", "b"])
+            key = np.int64(batch.column(0)[k].as_py()).view(np.uint64)
+            (xn, xl, xs, xw), (yn, yl, ys, yw) = _members(batch.column(2), k), _members(batch.column(4), k)
+            maybe = (xl[:, None] != yl[None, :]) & (100 * np.minimum(xs[:, None], ys[None, :]) >= 80 * np.maximum(xs[:, None], ys[None, :]))
+            if batch.column(1)[k].as_py() == batch.column(3)[k].as_py():
+                maybe &= xn[:, None] < yn[None, :]
+            a = b = np.zeros(0, np.int64)
+            if maybe.any():
+                # Overlap of sketches bounds the shared values: a cheap test before the estimate.
+                maybe &= _overlaps(xw[:, :K], yw[:, :K], _NONE) >= _LEAST[np.minimum(K, np.maximum(xs[:, None], ys[None, :]))]
+            if maybe.any():
+                # Lists with smaller keys have had the pair.
+                before = [np.where(keys < key, keys, _NO_KEY) for keys in (list_keys(xw, xs), list_keys(yw, ys))]
+                maybe &= _overlaps(*before, _NO_KEY) == 0
+                at, to = np.nonzero(maybe)
+                parts = range(0, len(at), 4000)
+                keep = np.concatenate([plausible(xw[at[c : c + 4000]], yw[to[c : c + 4000]]) for c in parts]) if len(at) else np.zeros(0, bool)
+                a, b = xn[at[keep]], yn[to[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
 
 def _stars(labels: DataFrame) -> DataFrame:
@@ -246,39 +296,34 @@ def near_groups(docs: DataFrame, width: int = 2) -> DataFrame:
     limit = WORK_PER_NODE * nodes.count()
     labels = components(links)
     for turn in range(MAX_PIVOT_ROUNDS + 1):
-        labelled = several.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+        labelled = materialise(several.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "labelled")
         by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("p"))
-        main = by_label.groupBy("key").agg(F.max(F.struct("c", "label", F.col("p").alias("pivot"))).alias("m"), F.count("*").alias("labels"), F.sum("c").alias("n")).where("labels > 1")
-        main = materialise(main.select("key", "n", F.col("m.label").alias("main"), F.col("m.pivot").alias("pivot")), "main")
-        outside = materialise(labelled.join(main, "key").where("label != main").select("key", "node", "n", "pivot"), "outside")
-        work = outside.agg(F.sum("n")).first()[0]
-        if not work:
+        main = by_label.groupBy("key").agg(F.max(F.struct("c", "label", F.col("p").alias("pivot"))).alias("m"), F.count("*").alias("labels"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("known")).where("labels > 1")
+        main = materialise(main.select("key", "n", ((F.col("n") * F.col("n") - F.col("known")) / 2).alias("work"), F.col("m.label").alias("main"), F.col("m.pivot").alias("pivot")), "main")
+        work, undecided = main.agg(F.sum("work"), F.count("*")).first()
+        if not undecided:
             break
         if work > limit and turn < MAX_PIVOT_ROUNDS:
+            outside = labelled.join(main, "key").where("label != main")
             more = search.links(outside.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct())
             if more.isEmpty():
                 limit = work  # pivots find no more: what is left goes through blocks
                 continue
             labels = components(_stars(labels).unionByName(more))
             continue
-        blocks = (F.col("n") / BLOCK).cast("int") + 1
-        held = F.struct("node", "n_shingles", "sketch")
-        own = nodes.select("node", "n_shingles", "sketch")
-
-        def in_blocks(part: DataFrame, name: str) -> DataFrame:
-            part = part.join(own, "node").withColumn("blk", F.pmod(F.xxhash64("node"), blocks))
-            return part.groupBy("key", "blk").agg(F.collect_list(held).alias(name)).select("key", name)
-
-        whole = in_blocks(several.join(main.select("key", "n"), "key"), "ys")
-        met = in_blocks(outside.select("key", "node", "n"), "xs").join(whole, "key")
-        pairs = materialise(met.select("xs", "ys").mapInArrow(_block_pairs, "a long, b long").distinct(), "met")
-        more = search.confirmed(pairs)
+        open_lists = maybe_in(labelled, "key", main.select("key"), filter_bits(undecided)).where("_maybe").drop("_maybe").join(main.select("key", "n"), "key")
+        held = open_lists.join(nodes.select("node", "n_shingles", "sketch"), "node")
+        blocks = held.groupBy("key", F.pmod(F.xxhash64("node"), F.floor(F.col("n") / BLOCK) + 1).alias("block")).agg(F.collect_list(F.struct("node", "label", "n_shingles", "sketch")).alias("members"))
+        blocks = materialise(blocks, "blocks")
+        xs = blocks.select("key", F.col("block").alias("i"), F.col("members").alias("xs"))
+        met = xs.join(blocks.select("key", F.col("block").alias("j"), F.col("members").alias("ys")), "key").where("i <= j")
+        found = materialise(met.select("key", "i", "xs", "j", "ys").mapInArrow(_block_pairs, "a long, b long"), "met")
+        more = search.confirmed(found)
         if not more.isEmpty():
             labels = components(_stars(labels).unionByName(more))
         break
 
-    same = known.groupBy("set_id", "n_shingles", low.alias("low")).agg(F.min("doc_id").alias("node"))
-    named = same.join(labels, "node", "left").select("set_id", "n_shingles", "low", F.coalesce("component", "node").alias("component_id"))
+    named = nodes.join(labels, "node", "left").select("set_id", "n_shingles", "low", F.coalesce("component", "node").alias("component_id"))
     told = sketched.withColumn("low", low).join(named, ["set_id", "n_shingles", "low"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(component)

@@ -20,16 +20,26 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every run of ``n`` consecutive values; empty where there are fewer."""
-    m = len(h) - n + 1
+    """Hash of every run of ``n`` consecutive values, by row; empty where there are fewer."""
+    m = h.shape[-1] - n + 1
     if m <= 0:
-        return np.zeros(0, np.uint64)
-    out = h[:m].copy()
+        return np.zeros((*h.shape[:-1], 0), np.uint64)
+    out = h[..., :m].copy()
     for j in range(1, n):
-        out = out * np.uint64(_PRIME) + h[j : j + m]
+        out = out * np.uint64(_PRIME) + h[..., j : j + m]
     return mixed(out)
 
 
+def among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in ``values``, a short array next to it."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    values = np.sort(values)
+    at = np.searchsorted(values, x)
+    at[at == len(values)] = 0
+    return values[at] == x
+
+
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     """Sorted hashes of the distinct n-word shingles of a text.
 
