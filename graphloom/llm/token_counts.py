@@ -69,11 +69,15 @@ class Resync:
 
     @staticmethod
     def _common(left: list, right: list, edge: int) -> tuple[int, int] | None:
-        """Indices of a pre-token that both have, clear of left's end and right's start."""
+        """Indices of a pre-token that both have, clear of left's end and right's start.
+
+        It begins where the one before it has ended: one character may be
+        normalised to several pre-tokens, and no cut goes through it.
+        """
         at = {x[0]: k for k, x in enumerate(left)}
         for j in range(2, len(right) - 1):
             k = at.get(right[j][0])
-            if k is not None and k + 1 < len(left) and left[k] == right[j] and left[k + 1] == right[j + 1] and left[k + 1][1] < edge:
+            if k and max(left[k - 1][1], right[j - 1][1]) <= right[j][0] and k + 1 < len(left) and left[k] == right[j] and left[k + 1] == right[j + 1] and left[k + 1][1] < edge:
                 return k, j
         return None
 
