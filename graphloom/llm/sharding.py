@@ -77,9 +77,13 @@ class SlotMap:
             load[to] += size[slot]
         mean = sum(load) / shards
         while True:
-            top, low = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
-            gap = load[top] - load[low]
-            fits = [k for k in held[top] if 0 < size[k] < gap]
+            low = min(range(shards), key=lambda s: (load[s], s))
+            # The fullest shard with a slot to give; one huge slot alone cannot move.
+            for top in sorted(range(shards), key=lambda s: (-load[s], s)):
+                gap = load[top] - load[low]
+                fits = [k for k in held[top] if 0 < size[k] < gap]
+                if fits or gap <= tolerance * mean:
+                    break
             if gap <= tolerance * mean or not fits:
                 break
             slot = min(fits, key=lambda k: (abs(size[k] - gap / 2), k))
