@@ -10,8 +10,8 @@ from .session import GraphSession
 from .sources.tables import GRAPHS, dataset
 from .vocab import DATA, DEFAULT_GRAPH, RDF, RDFS
 
-#: name: (tables read, SPARQL, SQL or None)
-SIMPLE: dict[str, tuple[str, str, str | None]] = {
+#: name: (tables read, SPARQL, SQL)
+SIMPLE: dict[str, tuple[str, str, str]] = {
     "bgp_star": ("customer", "SELECT ?c ?n ?b { ?c a :Customer ; :name ?n ; :acctbal ?b ; :mktsegment 'BUILDING' }", "SELECT 'http://data/customer/' || c_custkey AS c, c_name AS n, c_acctbal AS b FROM customer WHERE c_mktsegment = 'BUILDING'"),
     "bgp_chain": (
         "lineitem orders customer nation",
@@ -110,7 +110,18 @@ SIMPLE: dict[str, tuple[str, str, str | None]] = {
         "SELECT ?d (ROUND(fts:rank(?d) * 1000) AS ?r) { ?d fts:match 'the of' }",
         "WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: starts_with(x, 'of'))) AS b FROM w), s AS (SELECT count(*) AS k, avg(n) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c) SELECT 'http://data/document/' || doc_id AS d, round(1000 * (ln(1 + (k - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ln(1 + (k - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)))) AS r FROM c, s WHERE a > 0 AND b > 0",
     ),
-    "fts_offsets": ("documents", "SELECT ?d (fts:offsets(?d) AS ?o) (fts:snippet(?d, '[', ']', '~', 3) AS ?s) { ?d fts:match 'idiot' }", None),
+    "fts_offsets": ("documents", "SELECT ?d (fts:offsets(?d) AS ?o) { ?d fts:match 'idiot' }", "SELECT 'http://data/document/' || doc_id AS d, array_to_string(list_transform(list_filter(range(len(w)), lambda i: starts_with(w[i + 1], 'idiot')), lambda i: 'text,' || i), ',') AS o FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents) WHERE len(list_filter(w, lambda x: starts_with(x, 'idiot'))) > 0"),
+    "fts_snippet": (
+        "documents",
+        "SELECT ?d (fts:snippet(?d, '[', ']', '~', 3) AS ?s) { ?d fts:match 'idiot' }",
+        "WITH r AS (SELECT doc_id, string_split_regex(text, '\\s+') AS r FROM documents), h AS (SELECT doc_id, r, list_transform(r, lambda x: len(list_filter(string_split_regex(lower(x), '[^\\p{L}\\p{N}]+'), lambda w: starts_with(w, 'idiot'))) > 0) AS h FROM r), p AS (SELECT *, greatest(list_position(h, true) - 1, 1) AS k FROM h WHERE list_contains(h, true)) SELECT 'http://data/document/' || doc_id AS d, CASE WHEN k > 1 THEN '~' ELSE '' END || array_to_string(list_transform(range(k, least(k + 3, len(r) + 1)), lambda i: CASE WHEN h[i] THEN '[' || r[i] || ']' ELSE r[i] END), ' ') || CASE WHEN k + 3 <= len(r) THEN '~' ELSE '' END AS s FROM p",
+    ),
+    "fn_uri_lookup": ("nation region", "SELECT ?n ?r { ?n a :Nation ; :region ?x BIND (gl:uri(gl:id(?x)) AS ?r) }", "SELECT 'http://data/nation/' || n_nationkey AS n, 'http://data/region/' || n_regionkey AS r FROM nation"),
+    "fn_title_order": ("region", "SELECT ?n { ?r a :Region ; :name ?n } ORDER BY gl:title-order(?n) LIMIT 3", "SELECT r_name AS n FROM region ORDER BY lower(r_name) LIMIT 3"),
+    "order_collation": ("nation", "SELECT ?n { ?x a :Nation ; :name ?n } ORDER BY DESC(?n) LIMIT 7 OFFSET 2", "SELECT n_name AS n FROM nation ORDER BY n_name DESC LIMIT 7 OFFSET 2"),
+    "group_mixed": ("nation region", "SELECT ?o (COUNT(?s) AS ?n) { ?s ?p ?o FILTER (?p IN (rdfs:label, :region)) } GROUP BY ?o", "SELECT o, count(*) AS n FROM (SELECT r_name AS o FROM region UNION ALL SELECT n_name FROM nation UNION ALL SELECT 'http://data/region/' || n_regionkey FROM nation) GROUP BY 1"),
+    "construct_typed": ("nation", "CONSTRUCT { ?n :size ?k ; a :Nation } WHERE { ?n a :Nation ; :name ?x BIND (STRLEN(?x) AS ?k) }", f"SELECT 'http://data/nation/' || n_nationkey AS subject, unnest(['{DATA}size', '{RDF}type']) AS predicate, unnest([CAST(length(n_name) AS VARCHAR), '{DATA}Nation']) AS object FROM nation"),
+    "path_nested": ("nation region customer", "SELECT ?r (COUNT(?c) AS ?n) { ?r ^:region/^:nation ?c . ?c a :Customer } GROUP BY ?r", "SELECT 'http://data/region/' || n_regionkey AS r, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     "fn_random": ("region", "SELECT ?r (RAND() >= 0 AS ?a) (STRLEN(STRUUID()) AS ?b) (STRSTARTS(STR(UUID()), 'urn:uuid:') AS ?c) (isBlank(BNODE()) AS ?d) (YEAR(NOW()) > 2000 AS ?e) { ?r a :Region }", "SELECT 'http://data/region/' || r_regionkey AS r, TRUE AS a, CAST(36 AS BIGINT) AS b, TRUE AS c, TRUE AS d, TRUE AS e FROM region"),
     "collections": ("region", "SELECT ?n { ?r :name ?n FILTER NOT EXISTS { ?r rdf:first ?x } }", "SELECT r_name AS n FROM region"),
 }
@@ -171,7 +182,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _simple(ta
 QUERIES |= {name: _updated(tables, ups, text) for name, (tables, ups, text, _) in UPDATES.items()}
 QUERIES |= {"service": service, "parameters": parameters, "notifier": notifier}
 
-ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, sql) in SIMPLE.items() if sql}
+ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, sql) in SIMPLE.items()}
 ORACLE_SQL |= {name: sql for name, (_, _, _, sql) in UPDATES.items()}
 ORACLE_SQL |= {
     "service": "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey",
