@@ -87,7 +87,7 @@ def test_factors_learn_a_pair_that_no_single_feature_shows():
 
 
 def test_label_model_recovers_accuracies_and_correlations():
-    """Voters 0 to 3 are independent; 4 copies 3, which must not count twice."""
+    """Voters 0 to 3 are independent; 4 copies 3, which must not count twice. One row in 20 has a label."""
     rng = np.random.default_rng(3)
     n = 60_000
     y = rng.random(n) < 0.2
@@ -95,7 +95,10 @@ def test_label_model_recovers_accuracies_and_correlations():
     fire.append(np.where(rng.random(n) < 0.95, fire[3], ~fire[3]))
     bits = sum(f.astype(np.int64) << k for k, f in enumerate(fire))
     patterns, counts = np.unique(bits, return_counts=True)
-    m = LabelModel.fitted(patterns, counts.astype(float), {}, 5)
+    known = {}
+    for p, label in zip(bits[::20].tolist(), y[::20].astype(int).tolist()):
+        known[p, label] = known.get((p, label), 0) + 1
+    m = LabelModel.fitted(patterns, counts.astype(float), known, 5)
     assert [3, 4] in m.cliques
     assert m.prior == pytest.approx(0.2, abs=0.02)
     for k, (p, q) in enumerate(((0.8, 0.05), (0.7, 0.03), (0.6, 0.08))):
@@ -106,6 +109,6 @@ def test_label_model_recovers_accuracies_and_correlations():
 def test_votes():
     v = Voters.of([b"mined"], [b"blor"])
     bits, hits, begun = v.votes(b"you idiot mined".split())
-    assert bits & 1 and sum(hits) == 2 and begun == 0
+    assert bits & 1 and sum(hits) == 2 and not begun
     assert bits >> (len(v.lists) + toxicity.PREFIX_VOTERS) & 0b110 == 0b110  # two words, one beside "you"
-    assert v.votes(b"blorx blory fine".split())[2] == 2 and v.votes([])[0] == 0
+    assert v.votes(b"blorx blory fine".split())[2] == {0: 2} and v.votes([])[0] == 0
