@@ -64,9 +64,10 @@ class Scope:
 
 
 class Compiler:
-    def __init__(self, dataset: Dataset, params: dict | None = None, services: dict | None = None):
+    def __init__(self, dataset: Dataset, params: dict | None = None, services: dict | None = None, anonymous: bool = False):
         self.data, self.spark, self.onto = dataset, dataset.spark, dataset.ontology
         self.params, self.services = params or {}, services or {}
+        self.anonymous = anonymous
         #: Keeps the blank nodes of two runs of one template apart.
         self.salt = uuid.uuid4().hex
         self.allowed_services: frozenset[str] | None = None
@@ -98,8 +99,11 @@ class Compiler:
     def final(self, sol: Sol, names: list[str]) -> DataFrame:
         return sol.df.select(*(self.printed(sol.col(v), sol.type(v)).alias(v) for v in names))
 
-    @staticmethod
-    def printed(c: Column, t: T) -> Column:
+    def printed(self, c: Column, t: T) -> Column:
+        if self.anonymous and t.kind in ("iri", "term"):
+            node = t.kind == "iri"
+            is_blank = F.startswith(to_lex(c, t), F.lit("urn:bnode:")) & (F.lit(True) if node else c["kind"].isin("iri", "bnode"))
+            return F.when(is_blank, F.concat(F.lit("_:"), F.substr(to_lex(c, t), F.lit(11)))).otherwise(to_lex(c, t))
         return c if t.kind in ("integer", "double", "boolean", "date", "string", "iri") else to_lex(c, t)
 
     def modified(self, q: Query, sol: Sol) -> Sol:

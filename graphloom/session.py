@@ -19,7 +19,11 @@ from .vocab import PREFIXES
 
 @dataclass(frozen=True)
 class Options:
+    """``anonymous_bnodes``: results show blank nodes as labels, not as IRIs that queries can use."""
+
     read_only: bool = False
+    anonymous_bnodes: bool = False
+    strict_syntax: bool = False
     #: How full-text search reads texts and queries.
     analysis: Analysis = Analysis()
 
@@ -67,10 +71,10 @@ class GraphSession:
         self.listeners: list = []
 
     def compiler(self, params: dict | None = None) -> Compiler:
-        return Compiler(self.data, params, self.services)
+        return Compiler(self.data, params, self.services, self.options.anonymous_bnodes)
 
     def parse(self, text: str) -> Query:
-        return Parser(text, self.namespaces.prefixes).query()
+        return Parser(text, self.namespaces.prefixes, strict=self.options.strict_syntax).query()
 
     def prepare(self, text: str) -> Statement:
         return Statement(self, self.parse(text))
@@ -89,7 +93,7 @@ class GraphSession:
             raise QueryFailed("the session is read-only")
         data, before = self.data, self.data
         for text in texts:
-            for u in Parser(text, self.namespaces.prefixes).updates():
+            for u in Parser(text, self.namespaces.prefixes, strict=self.options.strict_syntax).updates():
                 data = apply(data, u, params, self.services)
         self.publish(before, data)
 
@@ -180,7 +184,7 @@ class Batch:
             if kind == "rdf":
                 data = inserted(data, read_quads(s.spark, what, more), implicit=True)
                 continue
-            for u in Parser(what, s.namespaces.prefixes).updates():
+            for u in Parser(what, s.namespaces.prefixes, strict=s.options.strict_syntax).updates():
                 data = apply(data, u, more, s.services)
         self.steps = []
         s.publish(s.data, data)

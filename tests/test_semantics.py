@@ -264,3 +264,17 @@ def test_values_take_the_range_of_their_property(spark):
     assert ask(s, "SELECT ?a ?s (YEAR(?b) AS ?y) { ?x t:age ?a ; t:score ?s ; t:born ?b }") == [(41, 2.0, 1999)]
     with pytest.raises(TypeMismatch):
         s.update("INSERT DATA { <urn:b> a t:Person ; t:age 'old' }")
+
+
+def test_strict_syntax_and_anonymous_blank_nodes(spark):
+    from graphloom.session import Options
+
+    s = session(spark, PREFIX + '[ a t:Person ; t:called "x" ] .', options=Options(strict_syntax=True, anonymous_bnodes=True))
+    (node,) = ask(s, "SELECT ?x { ?x t:called 'x' }")[0]
+    assert node.startswith("_:")
+    for text in ("SELECT ?n STRLEN(?n) { ?x t:called ?n }", "SELECT (STRLEN(?n)) { ?x t:called ?n }", "SELECT ?x { ?x t:age ~a }", "CONSTRAINT GRAPH DEFAULT SELECT ?x { ?x t:age 1 }", "SELECT (GROUP_CONCAT(?n, '-') AS ?g) { ?x t:called ?n }", "SELECT ?x { ?x t:age ?a FILTER (?a = (SELECT ?b { ?y t:age ?b })) }"):
+        with pytest.raises(ParseError, match="strict"):
+            s.query(text)
+    for text in ("INSERT OR REPLACE { <urn:a> t:age 1 }", "INSERT DATA { <urn:a> t:age NULL }"):
+        with pytest.raises(ParseError, match="strict"):
+            s.update(text)
