@@ -163,6 +163,14 @@ def notifier(spark: SparkSession, d: str) -> DataFrame:
     return changes(before, session.data)
 
 
+def fts_index(spark: SparkSession, d: str) -> DataFrame:
+    """The postings of the benchmark texts, as they would be stored."""
+    from .operators.fts import index
+    from .plans.lower import Scope
+
+    return index(GraphSession(spark, dataset(spark, d, ["benchmark"])).compiler(), Scope())
+
+
 _N = "'http://data/nation/' || n_nationkey"
 UPDATES: dict[str, tuple[str, list[str], str, str]] = {
     "insert_data": ("region", ["INSERT DATA { <http://data/region/99> a :Region ; :name 'NEW' } ; INSERT DATA { <http://data/region/99> a :Region }"], "SELECT ?r ?n { ?r a :Region ; :name ?n }", "SELECT 'http://data/region/' || r_regionkey AS r, r_name AS n FROM region UNION ALL SELECT 'http://data/region/99', 'NEW'"),
@@ -180,11 +188,12 @@ UPDATES: dict[str, tuple[str, list[str], str, str]] = {
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _simple(tables, text) for name, (tables, text, _) in SIMPLE.items()}
 QUERIES |= {name: _updated(tables, ups, text) for name, (tables, ups, text, _) in UPDATES.items()}
-QUERIES |= {"service": service, "parameters": parameters, "notifier": notifier}
+QUERIES |= {"service": service, "parameters": parameters, "notifier": notifier, "fts_index": fts_index}
 
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, _, sql) in SIMPLE.items()}
 ORACLE_SQL |= {name: sql for name, (_, _, _, sql) in UPDATES.items()}
 ORACLE_SQL |= {
+    "fts_index": "SELECT term, 'http://data/item/' || item_id AS s, '" + DATA + "content' AS prop, count(*) AS tf, any_value(length) AS length FROM (SELECT item_id, len(w) AS length, unnest(w) AS term FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark)) GROUP BY 1, 2, 3",
     "service": "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey",
     "parameters": "SELECT 'http://data/order/' || o_orderkey AS o FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 ORDER BY o_totalprice, o LIMIT 25",
     "notifier": f"SELECT CASE WHEN c_custkey = 2 THEN 'DELETE' ELSE 'UPDATE' END AS event, '{DEFAULT_GRAPH}' AS graph, 'http://data/customer/' || c_custkey AS resource FROM customer WHERE c_custkey = 2 OR c_mktsegment = 'BUILDING' AND c_acctbal <> 1.5 UNION ALL SELECT 'CREATE', '{DEFAULT_GRAPH}', 'http://data/customer/new'",

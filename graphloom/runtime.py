@@ -23,3 +23,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes this application's scratch tables, once no snapshot or result reads them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x").rsplit("/", 1)[0])
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -159,3 +159,15 @@ def test_ontology_errors():
     ):
         with pytest.raises(OntologyError):
             Ontology.of(classes, properties)
+
+
+def test_change_log_stream(spark, tmp_path):
+    from graphloom.streaming.notifier import stream
+
+    schema = "event string, graph string, resource string, at timestamp"
+    log = spark.createDataFrame([("CREATE", "urn:g", "urn:a", None), ("noise", "urn:g", "urn:b", None), ("DELETE", "urn:g", "urn:a", None)], schema)
+    log.coalesce(1).write.parquet(f"{tmp_path}/log")
+    seen = []
+    q = stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/log"), lambda df, _: seen.extend(rows(df.select("event", "resource"))), f"{tmp_path}/state")
+    q.awaitTermination()
+    assert sorted(seen) == [("CREATE", "urn:a"), ("DELETE", "urn:a")]
