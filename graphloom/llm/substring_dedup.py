@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, filter_bits, materialise, maybe_in, ship_package
-from .wordhash import gram_hashes, word_hashes
+from .wordhash import among, gram_hashes, word_hashes
 
 WINDOW = 13
 GRAM = 3
@@ -93,7 +93,7 @@ def _windows(window: int):
             parts = []
             for t, shared in zip(batch.column(1), batch.column(2)):
                 words, h = parsed(t.as_py())
-                at = np.isin(window_anchors(words, h, window).view(np.int64), np.array(shared.as_py(), np.int64))
+                at = among(window_anchors(words, h, window).view(np.int64), shared.values.to_numpy())
                 parts.append(np.unique(gram_hashes(h, window)[at]) if at.any() else np.zeros(0, np.uint64))
             yield _pairs(["window", "doc_id"], parts, batch.column(0).to_numpy())
 
@@ -113,13 +113,13 @@ def _remove(window: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
             n, gone, sha, spans, kept = [], [], [], [], []
-            for t, found in zip(batch.column(1), batch.column(2).to_pylist()):
+            for t, found in zip(batch.column(1), batch.column(2)):
                 text = t.as_py()
                 words = (text or b"").split()
                 mask = None
-                if found:
+                if found.is_valid:
                     h = word_hashes(words)
-                    mask = covered(np.isin(gram_hashes(h, window).view(np.int64), np.array(found, np.int64)), len(words), window)
+                    mask = covered(among(gram_hashes(h, window).view(np.int64), found.values.to_numpy()), len(words), window)
                 rest = words if mask is None else [w for w, m in zip(words, mask) if not m]
                 edges = [] if mask is None else np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))).tolist()
                 joined = b" ".join(rest)
