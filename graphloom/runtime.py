@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable in Python workers, unless PYTHONPATH does."""
+    package = Path(__file__).resolve().parent
+    app = spark.sparkContext.applicationId
+    if app in _shipped or any(Path(p).resolve() == package.parent for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p):
+        return
+    out = Path(tempfile.mkdtemp()) / "engine.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in package.rglob("*.py"):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(out))
+    _shipped.add(app)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

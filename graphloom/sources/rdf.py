@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..dataset import QUAD_SQL
 from ..errors import ParseError, Unsupported
 from ..parser.tokens import tokenize, unescape
+from ..runtime import ship
 from ..terms import range_type
 from ..vocab import DEFAULT_GRAPH, RDF, XSD
 
@@ -303,6 +304,7 @@ def read_quads(spark: SparkSession, path: str, graph: str | None = None) -> Data
     Malformed documents fail with a ParseError's text; blank nodes are kept
     apart by file.
     """
+    ship(spark)
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
