@@ -4,8 +4,8 @@ The test items form an inverted index; every passage of every document is a
 query. Impacts are BM25 divided by the item's score for its own text, so one
 threshold serves all items. Each posting list is cut into blocks of items with
 the largest impact in each. A passage first sums its terms' block maxima: only
-blocks that reach the threshold are walked by WAND, which skips on list bounds
-and block maxima, and every item over the threshold is retrieved. There is no
+blocks that reach the threshold are walked by WAND over the terms they hold; it
+skips on list bounds and block maxima, and every item over the threshold is retrieved. There is no
 limit on how many.
 
 A retrieved item counts as leaked if the document holds at least 80 % of its
@@ -29,9 +29,11 @@ columns are ignored. Rows come back for leaks only.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -44,8 +46,10 @@ from .common import ship_package
 THRESHOLD = 0.4
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK = 8
+BLOCK = 4
 SHARD = 1024
+#: Passages of a document whose bounds are summed at once.
+SEGMENT = 512
 MAX_ITEM_WORDS = 256
 MAX_BENCHMARK_BYTES = 64 << 20
 K1, B = 1.2, 0.75
@@ -111,6 +115,8 @@ class Index:
         for t, posting in enumerate(self.postings):
             for k, s in posting:
                 self.maxima[t, k // BLOCK] = max(self.maxima[t, k // BLOCK], s)
+        #: Largest impact of each list.
+        self.tops = self.maxima.max(axis=1, initial=0).tolist()
         self.shingles = [shingles(list(i.words)) for i in items]
 
     def retrieve(self, terms: list[int], allowed: set[int], threshold: float) -> list[tuple[int, float]]:
@@ -118,11 +124,12 @@ class Index:
 
         ``allowed`` are the blocks whose bound reaches it. Cursors stay sorted
         by item; the pivot is the first list at which list bounds add up to the
-        threshold, and a pivot whose block bounds fall short is skipped to the
-        end of the block.
+        threshold. A pivot outside the allowed blocks moves all cursors to the
+        next of them, one whose block bounds fall short moves them past it.
         """
         lists = [(self.postings[t], self.maxima[t]) for t in terms]
-        bounds = [float(m.max()) for _, m in lists]
+        bounds = [self.tops[t] for t in terms]
+        open_blocks = sorted(allowed)
         at = [0] * len(lists)
         done = len(self.items)
         where = [p[0][0] if p else done for p, _ in lists]
@@ -151,7 +158,10 @@ class Index:
                 return out
             block = pivot // BLOCK
             if block not in allowed:
-                target = (block + 1) * BLOCK
+                at_block = bisect_left(open_blocks, block)
+                if at_block == len(open_blocks):
+                    return out
+                target = open_blocks[at_block] * BLOCK
                 for k in order:
                     if where[k] < target:
                         skip(k, target)
@@ -187,6 +197,33 @@ class Benchmark:
         shards = [Index(items[k : k + SHARD], df, len(items), mean) for k in range(0, len(items), SHARD)]
         return cls(shards, max([32, *(len(i.words) for i in items)]))
 
+    def _passages(self, index: Index, ids: np.ndarray, chunk: np.ndarray, threshold: float) -> Iterator[tuple[int, list[int], set[int]]]:
+        """Passages with a block whose maxima sum to the threshold: (passage, the
+        terms that those blocks hold, those blocks).
+
+        Passage p covers the words of chunks p and p + 1; a term counts once in
+        it. Long documents go in segments, so memory does not grow with them.
+        """
+        last = int(chunk[-1])
+        for first in range(0, last + 1, SEGMENT):
+            n = min(SEGMENT, last + 1 - first)
+            a, b = np.searchsorted(chunk, [first, first + n + 1])
+            if a == b:
+                continue
+            column = np.zeros(len(index.terms), np.int64)
+            column[ids[a:b]] = 1
+            terms = np.flatnonzero(column)
+            column[terms] = np.arange(len(terms))
+            held = np.zeros((n + 1, len(terms)), np.float32)
+            held[chunk[a:b] - first, column[ids[a:b]]] = 1
+            held = np.maximum(held[:-1], held[1:])
+            maxima = index.maxima[terms]
+            reach = held @ maxima >= threshold - 1e-4
+            for p in np.flatnonzero(reach.any(axis=1)):
+                blocks = np.flatnonzero(reach[p])
+                useful = (held[p] > 0) & (maxima[:, blocks] > 0).any(axis=1)
+                yield first + int(p), terms[useful].tolist(), set(blocks.tolist())
+
     def leaks(self, text: bytes | None, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, float]]:
         """(item_id, score, shingle, question and answer overlap) of each leaked item."""
         words = words_of(text)
@@ -196,28 +233,13 @@ class Benchmark:
         held: set[bytes] | None = None
         for index in self.shards:
             known = index.terms
-            terms = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+            terms = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
             spots = np.flatnonzero(terms >= 0)
             if not len(spots):
                 continue
             ids = terms[spots]
-            # Passage p covers words [p * stride, (p + 2) * stride); a term counts once in it.
-            chunk = spots // self.stride
-            order = np.lexsort((chunk, ids))
-            last_chunk = np.full(len(ids), -9)
-            same = ids[order][1:] == ids[order][:-1]
-            last_chunk[order[1:][same]] = chunk[order[:-1][same]]
-            new_here = last_chunk != chunk
-            own = np.zeros((int(chunk[-1]) + 2, index.blocks), np.float32)
-            np.add.at(own, chunk[new_here], index.maxima[ids[new_here]])
-            twice = new_here & (last_chunk == chunk - 1)
-            again = np.zeros_like(own)
-            np.add.at(again, chunk[twice], index.maxima[ids[twice]])
-            bounds = own[:-1] + own[1:] - again[1:]
-            for p in np.flatnonzero(bounds.max(axis=1) >= threshold - 1e-4):
-                inside = (chunk == p) | (chunk == p + 1)
-                allowed = set(np.flatnonzero(bounds[p] >= threshold - 1e-4).tolist())
-                for k, score in index.retrieve(np.unique(ids[inside]).tolist(), allowed, threshold):
+            for p, terms, allowed in self._passages(index, ids, spots // self.stride, threshold):
+                for k, score in index.retrieve(terms, allowed, threshold):
                     item = index.items[k]
                     if held is None:
                         held = shingles(words) if len(words) >= SHINGLE else {b" ".join(words)}

@@ -59,6 +59,7 @@ def test_shards_and_parts_change_nothing(spark, monkeypatch):
 
     docs, items, want = planted(spark)
     monkeypatch.setattr(decontaminate, "SHARD", 10)
+    monkeypatch.setattr(decontaminate, "SEGMENT", 3)
     monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 2000)
     got = {(r["doc_id"], r["item_id"]) for r in find_leaks(docs, items).collect()}
     assert got == want
