@@ -222,10 +222,11 @@ def _overlaps(a: np.ndarray, b: np.ndarray, none) -> np.ndarray:
     common = held[0] & held[1] & (values != none)
     column, width = np.cumsum(common) - 1, int(common.sum())
     out = []
-    for rows, w in zip((len(a), len(b)), sides):
-        m = np.zeros((rows, width), np.float32)
+    for x, w in zip((a, b), sides):
+        w = w.ravel()
+        m = np.zeros((len(x), width), np.float32)
         hit = common[w]
-        m[np.repeat(np.arange(rows), a.shape[1])[hit], column[w[hit]]] = 1
+        m[np.repeat(np.arange(len(x)), x.shape[1])[hit], column[w[hit]]] = 1
         out.append(m)
     return out[0] @ out[1].T
 

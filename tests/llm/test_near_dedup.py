@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.llm import near_dedup
-from graphloom.llm.near_dedup import K, drop_near_copies, list_keys, near_groups, union_estimate
+from graphloom.llm.near_dedup import K, _overlaps, drop_near_copies, list_keys, near_groups, union_estimate
 from graphloom.llm.wordhash import shingle_set
 
 
@@ -52,6 +52,8 @@ def test_chains_and_many_variants(spark, monkeypatch, per_node):
     rows = [(k, " ".join(base[k // 2 : k // 2 + 100] if k % 2 else base[k // 2 : k // 2 + 100] + ["end"])) for k in range(40)]
     rows += [(1000 + k, near(50 + k % 4, 60, k % 9)) for k in range(80)]
     rows += [(2000 + k, " ".join(words(60 + k % 30, 2 + k % 9))) for k in range(90)]
+    # Texts of 30 to 47 words: their sets change from one family of keys to the next.
+    rows += [(3000 + k, " ".join(words(90, 47)[: 30 + k % 18] + [f"z{k % 5}"])) for k in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert local(near_groups(df, 2), "doc_id", "n_shingles", "component_id", "kept") == brute(rows, 2)
 
@@ -101,6 +103,16 @@ def test_union_estimate(a, b):
     assert int(k[0]) >= min(K, len(a | b)) or len(a) <= K or len(b) <= K
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 5), st.integers(0, 6), st.integers(1, 5), st.integers(0, 9), st.randoms(use_true_random=False))
+def test_overlaps(rows_a, wide_a, rows_b, wide_b, r):
+    """Rows of distinct values, blocks of different widths, empty ones too."""
+    make = lambda n, m: np.array([r.sample(range(15), m) for _ in range(n)], np.uint32).reshape(n, m)
+    a, b = make(rows_a, wide_a), make(rows_b, wide_b)
+    want = [[len(set(x) & set(y) - {7}) for y in b.tolist()] for x in a.tolist()]
+    assert _overlaps(a, b, 7).tolist() == want
+
+
 def test_shingle_set_sizes():
     for text in ("", "a", "A a", "a b a b a", "x " * 50):
         assert len(shingle_set(text.encode(), 2)) == len(shingles(text, 2))
