@@ -7,6 +7,7 @@ folder of our own is configured.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -152,6 +153,26 @@ def rows_without(docs: DataFrame, dropped: DataFrame, bits: int) -> DataFrame:
     return marked.where(~F.col(flag)).select(*own).unionByName(rest)
 
 
+def tidy(run):
+    """A mapInArrow function that gives memory back when its task ends.
+
+    Workers live on from task to task, and what their allocators keep for
+    themselves counts against the executor.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
+
+    return wrapped
+
+
 #: Edges that one task contracts: 16 MB as numbers.
 LOCAL_EDGES = 1_000_000
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import components, discard, filter_bits, materialise, maybe_in, rows_without, ship_package
+from .common import components, discard, filter_bits, materialise, maybe_in, rows_without, ship_package, tidy
 from .wordhash import gram_hashes, shingle_set
 
 #: Retained values: the first ``K`` make the list keys, all ``WIDE`` the estimate.
@@ -196,7 +196,7 @@ class _Search:
         a = n.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
         b = n.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
         both = pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= 80 * greatest(na, nb)")
-        maybe = materialise(both.select("a", "b", "sa", "sb").mapInArrow(_plausible, "a long, b long"), "plausible")
+        maybe = materialise(both.select("a", "b", "sa", "sb").mapInArrow(tidy(_plausible), "a long, b long"), "plausible")
         discard(pairs)
         return self.confirmed(maybe)
 
@@ -204,9 +204,9 @@ class _Search:
         """The pairs whose full sets have Jaccard 0.8 or more."""
         ids = maybe.select(F.col("a").alias("doc_id")).unionByName(maybe.select(F.col("b").alias("doc_id")))
         held = maybe_in(self.docs.select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id", ids, filter_bits(2 * maybe.count())).where("_maybe")
-        sets = materialise(held.select("doc_id", "text").mapInArrow(_sets(self.width), "doc_id long, shingles binary"), "sets")
+        sets = materialise(held.select("doc_id", "text").mapInArrow(tidy(_sets(self.width)), "doc_id long, shingles binary"), "sets")
         known = maybe.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-        found = materialise(known.select("a", "b", "sa", "sb").mapInArrow(_confirmed(80), "a long, b long"), "links")
+        found = materialise(known.select("a", "b", "sa", "sb").mapInArrow(tidy(_confirmed(80)), "a long, b long"), "links")
         discard(sets)
         discard(maybe)
         return found
@@ -279,13 +279,13 @@ def near_groups(docs: DataFrame, width: int = 2) -> DataFrame:
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     raw = rows.select("doc_id", F.col("text").cast("binary").alias("text"))
-    sketched = materialise(raw.mapInArrow(_sketches(width), "doc_id long, n_shingles long, set_id long, sketch binary"), "sketches")
+    sketched = materialise(raw.mapInArrow(tidy(_sketches(width)), "doc_id long, n_shingles long, set_id long, sketch binary"), "sketches")
     known = sketched.where("n_shingles > 0 and doc_id is not null")
     # The lowest value beside the set's hash and size: equal sets, with 128 bits and a size agreeing.
     low = F.xxhash64("sketch")
     nodes = known.groupBy("set_id", "n_shingles", low.alias("low")).agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"))
     nodes = materialise(nodes, "nodes")
-    entries = nodes.select("node", "n_shingles", "sketch").mapInArrow(_entries, "key long, node long")
+    entries = nodes.select("node", "n_shingles", "sketch").mapInArrow(tidy(_entries), "key long, node long")
     lists = materialise(entries.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "lists")
     shared = maybe_in(entries, "key", lists.select("key"), filter_bits(lists.count(), 8)).where("_maybe").select("key", "node")
     members = materialise(shared.join(lists, "key").where("node != pivot"), "members")
@@ -318,7 +318,7 @@ def near_groups(docs: DataFrame, width: int = 2) -> DataFrame:
         blocks = materialise(blocks, "blocks")
         xs = blocks.select("key", F.col("block").alias("i"), F.col("members").alias("xs"))
         met = xs.join(blocks.select("key", F.col("block").alias("j"), F.col("members").alias("ys")), "key").where("i <= j")
-        found = materialise(met.select("key", "i", "xs", "j", "ys").mapInArrow(_block_pairs, "a long, b long"), "met")
+        found = materialise(met.select("key", "i", "xs", "j", "ys").mapInArrow(tidy(_block_pairs), "a long, b long"), "met")
         more = search.confirmed(found)
         if not more.isEmpty():
             labels = components(_stars(labels).unionByName(more))
