@@ -32,7 +32,7 @@ OVERLAP = 256
 #: Characters from which a text is huge.
 HUGE = 32_768
 LIMIT = 2048
-#: Units a worker remembers; the cache starts anew when full.
+#: Units a worker remembers in each of two generations.
 CACHE = 300_000
 
 
@@ -112,13 +112,17 @@ class UnitCounts:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.known: dict[bytes, int] = {}
+        self.aged: dict[bytes, int] = {}
 
     def counts(self, texts: list[bytes]) -> list[int]:
         split = [t.split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {}
-        known = self.known
-        new = list({u for units in split for u in units if u not in known})
+        if len(self.known) > CACHE:  # what was asked for since the last turn survives the next
+            self.known, self.aged = {}, self.known
+        known, aged = self.known, self.aged
+        new = {u for units in split for u in units if u not in known}
+        if aged:
+            known.update((u, aged[u]) for u in new & aged.keys())
+        new = [u for u in new if u not in known]
         for k in range(0, len(new), 4096):
             part = new[k : k + 4096]
             for u, e in zip(part, self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in part], add_special_tokens=False)):
