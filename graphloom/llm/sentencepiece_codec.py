@@ -12,8 +12,9 @@ their joined text yields. Exactly one piece passes at each position, so the
 pass still goes once over the text and its ids equal the library's.
 
 No piece has a word mark after another character, so texts fall apart before
-each run of marks, and a bounded cache in each worker encodes a repeated
-segment once. Characters without a piece become byte pieces.
+each run of marks, and further wherever two characters stand side by side in no
+piece. Bounded caches in each worker encode a repeated segment or unit once.
+Characters without a piece become byte pieces.
 
 Defined cases: null and empty texts have no ids; the mark itself (U+2581) in a
 text is taken as a space, as the library does, so only such texts do not come
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import ship_package, tidy
 
 MARK = "▁"
-#: Segments a worker remembers; the cache starts anew when full.
-CACHE = 250_000
-_SEGMENT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: Segments a worker remembers in each of two generations, and units.
+#: Pairs of pieces whose fit it remembers.
+CACHE = 200_000
+PAIRS = 500_000
+_NOTHING: dict = {}
+_SEGMENT = re.compile("\n| *[^ \n]+| +")
 
 
 class Codec:
@@ -56,11 +61,17 @@ class Codec:
                 self.automaton.add_word(p, (k, len(p)))
         self.automaton.make_automaton()
         self.chars = {p for p in self.ids if len(p) == 1}
+        #: Pairs of characters inside pieces.
+        self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.units: dict[str, bytes] = {}
         self.plain = [b"" if k in special else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
         for b, k in byte_ids.items():
             self.plain[k] = bytes([b])
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: For a piece (-1: none) those that may follow it, as far as they have been asked for.
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.asked = 0
         self.known: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
 
     @classmethod
     def from_model(cls, path: str) -> Codec:
@@ -104,12 +115,12 @@ class Codec:
 
     def _fits(self, a: int, b: int) -> bool:
         """Whether merging the joined text of two pieces gives just these two."""
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs = {}
-            first = [] if a < 0 else [a]
-            got = self.pairs[a, b] = self.merged("".join(self.pieces[k] for k in first) + self.pieces[b]) == [*first, b]
+        if self.asked > PAIRS:
+            self.fits.clear()
+            self.asked = 0
+        self.asked += 1
+        first = [] if a < 0 else [a]
+        got = self.fits.setdefault(a, {})[b] = self.merged("".join(self.pieces[k] for k in first) + self.pieces[b]) == [*first, b]
         return got
 
     def _pass(self, text: str) -> list[int]:
@@ -118,15 +129,18 @@ class Codec:
         if self.bpe:
             if text.startswith(MARK * 3) or n > 400:
                 return self.merged(text)  # long runs of marks tie in score; a huge unbroken run needs no pair cache
-            last: list[int] = [-1] * (n + 1)
-            start = [0] * (n + 1)
+            last: list[int] = [-2] * (n + 1)  # -2: not reached, -1: the start
+            last[0] = -1
+            fits = self.fits
             for end, (k, size) in self.automaton.iter(text):
                 end += 1
-                s = end - size
-                if last[end] < 0 and (s == 0 or last[s] >= 0) and self._fits(last[s], k):
-                    last[end], start[end] = k, s
+                if last[end] == -2 and (before := last[end - size]) != -2:
+                    got = fits.get(before, _NOTHING).get(k)
+                    if got or got is None and self._fits(before, k):
+                        last[end] = k
             if last[n] < 0:
                 return self.merged(text)
+            start = None
         else:
             last, start = [-1] * (n + 1), [0] * (n + 1)
             best = [0.0] + [float("-inf")] * n
@@ -138,39 +152,51 @@ class Codec:
         out, at = [], n
         while at > 0:
             out.append(last[at])
-            at = start[at]
+            at = start[at] if start else at - len(self.pieces[last[at]])
         return out[::-1]
 
-    def segment_ids(self, segment: str) -> list[int]:
-        if self.chars.issuperset(segment):
-            return self._pass(segment)
-        out: list[int] = []
-        run = ""
-        for c in segment:
-            if c in self.chars:
-                run += c
-                continue
-            if run:
-                out += self._pass(run)
-            run = ""
-            out += [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
-        return out + self._pass(run) if run else out
+    def segment_ids(self, segment: str) -> bytes:
+        """Ids of a segment as int32, unit by unit: no piece reaches from one unit to the next."""
+        inner = self.inner
+        cuts = [k + 1 for k in range(len(segment) - 1) if segment[k : k + 2] not in inner]
+        if not cuts:
+            return self._unit(segment)
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(segment)]):
+            unit = segment[a:b]
+            ids = self.units.get(unit)
+            if ids is None:
+                ids = self._unit(unit)
+                if b - a < 64:
+                    if len(self.units) > CACHE:
+                        self.units.clear()
+                    self.units[unit] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _unit(self, unit: str) -> bytes:
+        """A character without a piece stands alone, as none of its pairs is in a piece."""
+        return array("i", self._pass(unit) if unit[0] in self.chars else [self.byte_ids[b] for b in unit.encode("utf-8", "surrogatepass")]).tobytes()
+
+    def forget(self) -> None:
+        """Drops the units of a task; its segments stay."""
+        self.units = {}
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text as int32; a leading mark is added as the model does."""
         if not text:
             return np.zeros(0, np.int32)
-        if len(self.known) > CACHE:
-            self.known = {}
-        known, found = self.known, _SEGMENT.findall(MARK + text.replace(" ", MARK))
-        out = []
-        for s in found:
-            ids = known.get(s)
-            if ids is None:
-                ids = np.array(self.segment_ids(s), np.int32).tobytes()
-                if len(s) < 64:
-                    known[s] = ids
-            out.append(ids)
+        if len(self.known) > CACHE:  # what was asked for since the last turn survives the next
+            self.known, self.aged = {}, self.known
+        if MARK in text:
+            text = text.replace(MARK, " ")
+        known, found = self.known, _SEGMENT.findall(" " + text)
+        out = list(map(known.get, found))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            s = found[k]
+            out[k] = known.get(s) or self.aged.get(s) or self.segment_ids(s.replace(" ", MARK))
+            if len(s) < 64:
+                known[s] = out[k]
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> bytes:
@@ -202,8 +228,9 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(same)], ["doc_id", "n_pieces", "ids", "round_trip"])
+        c.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids array<int>, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids array<int>, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
