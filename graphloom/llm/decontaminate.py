@@ -13,11 +13,13 @@ five-word shingles, and the passage's surroundings at least 80 % of the words
 of its question and of its answer (the part after the last sentence end, or
 the last third).
 
-Passages overlap by the longest item, so an item lies whole in some passage.
-The index is cut into shards of at most ``SHARD`` items; documents meet each
-shard in turn, so memory is bounded by a shard, and every item is used. Items
-over ``MAX_ITEM_WORDS`` words count as several of that length, each judged
-alone. The sizes of the test set are checked: where its text exceeds
+No item is cut. Items of up to ``MAX_ITEM_WORDS`` words form one length class,
+longer ones a class for each doubling, so that a long item does not lengthen
+the passages of short ones. Passages overlap by the longest item of a class, so
+an item lies whole in some passage. The index is cut into shards of at most
+``SHARD`` items, fewer where items are longer; documents meet each
+shard in turn, so memory is bounded by a shard or one item, and every item is
+used. The sizes of the test set are checked: where its text exceeds
 ``MAX_BENCHMARK_BYTES``, it is read and applied in parts of that size.
 
 Defined cases: null and empty texts hold no item; items without words are
@@ -48,8 +50,9 @@ OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 4
 SHARD = 1024
-#: Passages of a document whose bounds are summed at once.
+#: Passages of a document whose bounds are summed at once; fewer where passages are longer.
 SEGMENT = 512
+#: Words of the longest item of the first length class.
 MAX_ITEM_WORDS = 256
 MAX_BENCHMARK_BYTES = 64 << 20
 K1, B = 1.2, 0.75
@@ -75,16 +78,14 @@ class Item:
     answer: tuple[bytes, ...]
 
     @classmethod
-    def pieces(cls, item_id: int, text: bytes) -> list[Item]:
-        """The item, or its pieces of MAX_ITEM_WORDS words."""
+    def of(cls, item_id: int, text: bytes) -> Item | None:
+        """The whole item; None if it has no words."""
         words = words_of(text)
         if not words:
-            return []
-        if len(words) > MAX_ITEM_WORDS:
-            return [cls.split(item_id, words[k : k + MAX_ITEM_WORDS], 0) for k in range(0, len(words), MAX_ITEM_WORDS)]
+            return None
         ends = [m.end() for m in _SENTENCE.finditer(text)]
         tail = len(words_of(text[ends[-1] :])) if ends else 0
-        return [cls.split(item_id, words, tail)]
+        return cls.split(item_id, words, tail)
 
     @classmethod
     def split(cls, item_id: int, words: list[bytes], tail: int) -> Item:
@@ -92,11 +93,19 @@ class Item:
         return cls(item_id, tuple(words), tuple(words[:cut]), tuple(words[cut:]) or tuple(words))
 
 
+def length_class(words: int) -> int:
+    """0 for items of up to MAX_ITEM_WORDS words, one more for each doubling."""
+    return (max(1, (words + MAX_ITEM_WORDS - 1) // MAX_ITEM_WORDS) - 1).bit_length()
+
+
 class Index:
-    """Inverted lists of impacts over one shard of items, with block maxima."""
+    """Inverted lists of impacts over one shard of items, with block maxima.
+
+    ``stride`` is the length of a chunk: at least that of the longest item."""
 
-    def __init__(self, items: list[Item], df: Counter, total: int, mean: float):
+    def __init__(self, items: list[Item], df: Counter, total: int, mean: float, stride: int):
         self.items = items
+        self.stride = stride
         self.terms: dict[bytes, int] = {}
         self.blocks = (len(items) + BLOCK - 1) // BLOCK
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
@@ -184,18 +193,24 @@ class Index:
 
 @dataclass
 class Benchmark:
-    """All shards, and the passage length that fits the longest item twice."""
+    """All shards; a passage fits the longest item of the shard's length class twice."""
 
     shards: list[Index]
-    stride: int
 
     @classmethod
     def of(cls, rows: list[tuple[int, bytes]]) -> Benchmark:
-        items = [i for k, t in sorted(rows, key=lambda r: (str(type(r[0])), r[0] if r[0] is not None else 0, r[1])) for i in Item.pieces(k, t)]
+        ordered = sorted(rows, key=lambda r: (str(type(r[0])), r[0] if r[0] is not None else 0, r[1]))
+        items = [i for k, t in ordered if (i := Item.of(k, t))]
         df = Counter(w for i in items for w in set(i.words))
         mean = sum(len(i.words) for i in items) / max(1, len(items))
-        shards = [Index(items[k : k + SHARD], df, len(items), mean) for k in range(0, len(items), SHARD)]
-        return cls(shards, max([32, *(len(i.words) for i in items)]))
+        classes: dict[int, list[Item]] = defaultdict(list)
+        for i in items:
+            classes[length_class(len(i.words))].append(i)
+        shards = []
+        for c, own in sorted(classes.items()):
+            size, stride = max(1, SHARD >> c), max([32, *(len(i.words) for i in own)])
+            shards += [Index(own[k : k + size], df, len(items), mean, stride) for k in range(0, len(own), size)]
+        return cls(shards)
 
     def _passages(self, index: Index, ids: np.ndarray, chunk: np.ndarray, threshold: float) -> Iterator[tuple[int, list[int], set[int]]]:
         """Passages with a block whose maxima sum to the threshold: (passage, the
@@ -204,9 +219,9 @@ class Benchmark:
         Passage p covers the words of chunks p and p + 1; a term counts once in
         it. Long documents go in segments, so memory does not grow with them.
         """
-        last = int(chunk[-1])
-        for first in range(0, last + 1, SEGMENT):
-            n = min(SEGMENT, last + 1 - first)
+        last, size = int(chunk[-1]), max(1, SEGMENT * MAX_ITEM_WORDS // max(MAX_ITEM_WORDS, index.stride))
+        for first in range(0, last + 1, size):
+            n = min(size, last + 1 - first)
             a, b = np.searchsorted(chunk, [first, first + n + 1])
             if a == b:
                 continue
@@ -238,7 +253,7 @@ class Benchmark:
             if not len(spots):
                 continue
             ids = terms[spots]
-            for p, terms, allowed in self._passages(index, ids, spots // self.stride, threshold):
+            for p, terms, allowed in self._passages(index, ids, spots // index.stride, threshold):
                 for k, score in index.retrieve(terms, allowed, threshold):
                     item = index.items[k]
                     if held is None:
@@ -251,7 +266,7 @@ class Benchmark:
                         shared = len(some & held) / len(some)
                     if shared < OVERLAP:
                         continue
-                    near = Counter(words[p * self.stride : (p + 2) * self.stride])
+                    near = Counter(words[p * index.stride : (p + 2) * index.stride])
                     q, a = _held(item.question, near), _held(item.answer, near)
                     if q >= OVERLAP and a >= OVERLAP and score > found.get(item.item_id, (0.0,))[0]:
                         found[item.item_id] = (score, shared, q, a)

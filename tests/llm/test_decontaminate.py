@@ -65,6 +65,20 @@ def test_shards_and_parts_change_nothing(spark, monkeypatch):
     assert got == want
 
 
+def test_long_items_are_judged_whole():
+    """No remainder of a long item counts as the item; the whole one is found wherever it lies."""
+    r = random.Random(8)
+    for n in (MAX_ITEM_WORDS + 1, MAX_ITEM_WORDS + 44, 2 * MAX_ITEM_WORDS + 1, 5 * MAX_ITEM_WORDS):
+        item = [f"i{n}_{k}" for k in range(n - 1)] + ["the"]
+        bench = Benchmark.of([(1, " ".join(item).encode()), (2, b"a short item of seven words here")])
+        rest = words(n, 700)
+        held = lambda part: [k for k, *_ in bench.leaks(" ".join(rest[:350] + part + rest[350:]).encode())]
+        assert held(["the"]) == [] and held(item[-44:]) == [] and held(item[: n // 2]) == []
+        assert held(item) == [1] and held("a short item of seven words here".split()) == [2]
+        for at in r.sample(range(700), 5):
+            assert [k for k, *_ in bench.leaks(" ".join(rest[:at] + item + rest[at:]).encode())] == [1]
+
+
 def test_edges(spark):
     items = spark.createDataFrame([(1, "nothing of this is in there at all, is it? no it is not")], "item_id long, text string")
     df = documents(spark)
