@@ -106,6 +106,15 @@ def test_label_model_recovers_accuracies_and_correlations():
         assert toxic == pytest.approx(p, abs=0.04) and clean == pytest.approx(q, abs=0.02)
 
 
+def test_label_model_counts_all_labelled_rows(larger):
+    """The bound holds for the classifier's training rows only."""
+    docs, labels = larger
+    few, all_rows = (toxicity.fit(docs, labels, limit=n) for n in (40, 6000))
+    assert few.linear.voters == all_rows.linear.voters and few.linear.voters.prefixes
+    assert few.labels.prior == all_rows.labels.prior and few.labels.cliques == all_rows.labels.cliques
+    assert all((a == b).all() for a, b in zip(few.labels.tables, all_rows.labels.tables))
+
+
 def test_votes():
     v = Voters.of([b"mined"], [b"blor"])
     bits, hits, begun = v.votes(b"you idiot mined".split())
