@@ -20,7 +20,8 @@ an item lies whole in some passage. The index is cut into shards of at most
 ``SHARD`` items, fewer where items are longer; documents meet each
 shard in turn, so memory is bounded by a shard or one item, and every item is
 used. The sizes of the test set are checked: where its text exceeds
-``MAX_BENCHMARK_BYTES``, it is read and applied in parts of that size.
+``MAX_BENCHMARK_BYTES``, it is read and applied in parts of about that size,
+scored by the statistics of the whole.
 
 Defined cases: null and empty texts hold no item; items without words are
 skipped; items with fewer than five words count as one shingle; an item given
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import discard, materialise, ship_package
 
 THRESHOLD = 0.4
 OVERLAP = 0.8
@@ -191,6 +192,25 @@ class Index:
                 out.append((pivot, score))
 
 
+@dataclass
+class Stats:
+    """Of the whole test set: items that hold each word, items with words, their
+    mean length, and the longest of each length class."""
+
+    df: Counter
+    total: int
+    mean: float
+    longest: dict[int, int]
+
+    @classmethod
+    def of(cls, items: list[Item]) -> Stats:
+        longest: dict[int, int] = defaultdict(int)
+        for i in items:
+            c = length_class(len(i.words))
+            longest[c] = max(longest[c], len(i.words))
+        return cls(Counter(w for i in items for w in set(i.words)), len(items), sum(len(i.words) for i in items) / max(1, len(items)), longest)
+
+
 @dataclass
 class Benchmark:
     """All shards; a passage fits the longest item of the shard's length class twice."""
@@ -198,18 +218,17 @@ class Benchmark:
     shards: list[Index]
 
     @classmethod
-    def of(cls, rows: list[tuple[int, bytes]]) -> Benchmark:
+    def of(cls, rows: list[tuple[int, bytes]], stats: Stats | None = None) -> Benchmark:
         ordered = sorted(rows, key=lambda r: (str(type(r[0])), r[0] if r[0] is not None else 0, r[1]))
         items = [i for k, t in ordered if (i := Item.of(k, t))]
-        df = Counter(w for i in items for w in set(i.words))
-        mean = sum(len(i.words) for i in items) / max(1, len(items))
+        stats = stats or Stats.of(items)
         classes: dict[int, list[Item]] = defaultdict(list)
         for i in items:
             classes[length_class(len(i.words))].append(i)
         shards = []
         for c, own in sorted(classes.items()):
-            size, stride = max(1, SHARD >> c), max([32, *(len(i.words) for i in own)])
-            shards += [Index(own[k : k + size], df, len(items), mean, stride) for k in range(0, len(own), size)]
+            size, stride = max(1, SHARD >> c), max(32, stats.longest[c])
+            shards += [Index(own[k : k + size], stats.df, stats.total, stats.mean, stride) for k in range(0, len(own), size)]
         return cls(shards)
 
     def _passages(self, index: Index, ids: np.ndarray, chunk: np.ndarray, threshold: float) -> Iterator[tuple[int, list[int], set[int]]]:
@@ -278,14 +297,40 @@ def _held(part: tuple[bytes, ...], near: Counter) -> float:
     return sum(min(c, near[w]) for w, c in want.items()) / len(part)
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = [n for t in batch.column(0).to_pylist() if (n := len(words_of(t)))]
+        yield pa.RecordBatch.from_arrays([pa.array([length_class(n) for n in sizes], pa.int32()), pa.array(sizes, pa.int64())], ["class", "words"])
+
+
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for t in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(list(set(words_of(t))), pa.binary())], ["word"])
+
+
 def benchmarks(items: DataFrame) -> Iterator[Benchmark]:
-    """The test set as one Benchmark, or several where its text is over the bound."""
+    """The test set as one Benchmark, or several where its text is over the bound.
+
+    Parts share the statistics of the whole, and an id lies in one part, so
+    rows don't depend on the number of parts."""
     rows = items.select("item_id", F.col("text").cast("binary").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(size // MAX_BENCHMARK_BYTES) + 1
+    if parts == 1:
+        yield Benchmark.of([(r["item_id"], bytes(r["text"])) for r in rows.collect()])
+        return
+    ship_package(items.sparkSession)
+    lengths = rows.select("text").mapInArrow(_lengths, "class int, words long").groupBy("class").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.max("words").alias("longest")).collect()
+    total, longest = sum(r["n"] for r in lengths), {r["class"]: r["longest"] for r in lengths}
+    mean = sum(r["words"] for r in lengths) / max(1, total)
+    df = materialise(rows.select("text").mapInArrow(_distinct_words, "word binary").groupBy("word").agg(F.count("*").alias("n")), "df")
     for part in range(parts):
-        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        yield Benchmark.of([(r["item_id"], bytes(r["text"])) for r in own.collect()])
+        own = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        held = df.join(own.select("text").mapInArrow(_distinct_words, "word binary").distinct(), "word").collect()
+        stats = Stats(Counter({bytes(r["word"]): r["n"] for r in held}), total, mean, longest)
+        yield Benchmark.of([(r["item_id"], bytes(r["text"])) for r in own.collect()], stats)
+    discard(df)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -79,6 +79,18 @@ def test_long_items_are_judged_whole():
             assert [k for k, *_ in bench.leaks(" ".join(rest[:at] + item + rest[at:]).encode())] == [1]
 
 
+def test_parts_score_by_the_whole_test_set(spark, monkeypatch):
+    from graphloom.llm import decontaminate
+
+    docs, items, want = planted(spark)
+    cut = items.where("item_id < 20").selectExpr("item_id + 500 as doc_id", "regexp_replace(text, ' [^ ]+$', '') as text")
+    rows = lambda: {tuple(round(x, 9) for x in r) for r in find_leaks(docs.unionByName(cut), items).collect()}
+    whole = rows()
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", 4000)
+    assert rows() == whole and {r[:2] for r in whole} == want | {(k + 500, k) for k in range(20)}
+    assert any(r[2] < 0.99 for r in whole)
+
+
 def test_edges(spark):
     items = spark.createDataFrame([(1, "nothing of this is in there at all, is it? no it is not")], "item_id long, text string")
     df = documents(spark)
