@@ -65,6 +65,8 @@ class Dataset:
     stored: DataFrame | None = None
     graphs: frozenset[str] = frozenset()
     options: dict = field(default_factory=dict)
+    #: Stored full-text postings; without them a match scans the texts.
+    index: object | None = None
 
     def quads(self, only: set[str] | None = None) -> DataFrame:
         """Every quad, or those with one of some predicates."""

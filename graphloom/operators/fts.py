@@ -113,108 +113,212 @@ def texts(c, scope) -> DataFrame:
         parts.append(rows.groupBy("s").agg(F.sort_array(F.collect_list(item)).cast(_TEXTS).alias("texts")))
     if not parts:
         raise QueryFailed("no property is indexed for full text")
-    return reduce(DataFrame.union, parts)
+    rows = reduce(DataFrame.union, parts)
+    only = getattr(c, "subjects", None)
+    return rows if only is None else rows.join(only, "s", "left_semi")
 
 
-def _tokens(words) -> Column:
-    return F.flatten(F.transform(F.filter("texts", lambda t: t["text"].isNotNull()), lambda t: words(t["text"])))
+def _tokenised(c, scope) -> DataFrame:
+    """``s``, and for each text its property, weight and words, made once."""
+    words = analysis(c).words
+    rows = texts(c, scope)
+    each = F.transform(F.filter("texts", lambda t: t["text"].isNotNull()), lambda t: F.struct(t["prop"].alias("prop"), t["weight"].alias("weight"), t["text"].alias("text"), words(t["text"]).alias("w")))
+    return rows.select("s", each.alias("_t"))
 
 
-def _condition(words, terms: list[str], phrases: list[list[str]]) -> Column:
-    cond = F.lit(True)
-    for k, term in enumerate(terms):
-        cond = cond & (F.exists("_words", _is(term, True)) if k == len(terms) - 1 else F.array_contains("_words", term))
-    for p in phrases:
-        inside = f" {' '.join(p)} "
-        cond = cond & F.exists("texts", _holds(words, inside))
-    return cond
+def _hit(w: Column, term: str, prefix: bool) -> Column:
+    return F.startswith(w, F.lit(term)) if prefix else w == term
+
+
+def _any(w: Column, asked: list[tuple[str, bool]]) -> Column:
+    return reduce(lambda a, b: a | b, (_hit(w, x, k) for x, k in asked))
 
 
 def _is(term: str, prefix: bool):
     return lambda w: _hit(w, term, prefix)
 
 
-def _holds(words, inside: str):
-    return lambda t: F.contains(F.concat(F.lit(" "), F.array_join(words(F.coalesce(t["text"], F.lit(""))), " "), F.lit(" ")), F.lit(inside))
+def _somewhere(term: str, prefix: bool) -> Column:
+    return F.exists("_t", lambda t: F.exists(t["w"], _is(term, prefix)) if prefix else F.array_contains(t["w"], term))
 
 
-def _weighted(words, term: str, prefix: bool):
-    return lambda a, t: a + F.coalesce(t["weight"] * F.size(F.filter(words(F.coalesce(t["text"], F.lit(""))), _is(term, prefix))), F.lit(0.0))
+def _phrase(words: list[str]) -> Column:
+    inside = f" {' '.join(words)} "
+    return F.exists("_t", lambda t: F.contains(F.concat(F.lit(" "), F.array_join(t["w"], " "), F.lit(" ")), F.lit(inside)))
 
 
-def _matched(c, text: str, scope) -> DataFrame:
-    how = analysis(c)
-    return texts(c, scope).withColumn("_words", _tokens(how.words)).where(_condition(how.words, *parse(text, how)))
+def _asked(parsed: list) -> list[tuple[str, bool]]:
+    """Every word looked for, and whether it may be a prefix."""
+    return [(w, k == len(terms) - 1) for terms, _ in parsed for k, w in enumerate(terms)] + [(w, False) for _, phrases in parsed for p in phrases for w in p]
 
 
-def search(c, text: str, scope) -> DataFrame:
-    c.match_text = text
-    return _matched(c, text, scope).select("s")
+def search(c, queries: list[str], scope, calls: list[tuple[str, list]] = ()) -> tuple[DataFrame, list]:
+    """``s`` of resources that all the query texts match, a column ``v<k>`` for each
+    function call (name, constants), and the types of those columns."""
+    how = analysis(c)
+    parsed = [parse(q, how) for q in queries]
+    stored = c.data.index
+    if stored is not None and scope.unrestricted and all(name != "snippet" for name, _ in calls):
+        return _by_postings(c, stored, parsed, scope, calls)
+    rows = _tokenised(c, scope)
+    cond = F.lit(True)
+    for terms, phrases in parsed:
+        for k, term in enumerate(terms):
+            cond = cond & _somewhere(term, k == len(terms) - 1)
+        for p in phrases:
+            cond = cond & _phrase(p)
+    asked = _asked(parsed)
+    found, cols, types = rows.where(cond), [], []
+    for k, (name, args) in enumerate(calls):
+        if name == "rank":
+            size = F.aggregate("_t", F.lit(0), lambda n, t: n + F.size(t["w"]))
+            stats = [F.count("*").alias("_n"), F.avg(size).alias("_avg"), *(F.sum(_somewhere(*x).cast("int")).alias(f"_df{j}") for j, x in enumerate(asked))]
+            found = found.crossJoin(F.broadcast(rows.agg(*stats)))  # one row
+            tf = [F.aggregate("_t", F.lit(0.0), _weighted(*x)) for x in asked]
+            c_, t_ = _bm25(tf, [F.col(f"_df{j}") for j in range(len(asked))], F.col("_n"), size, F.col("_avg")), DOUBLE
+        elif name == "offsets":
+            c_, t_ = _offsets(asked), STRING
+        elif name == "snippet":
+            c_, t_ = _snippet(how.words, asked, args), STRING
+        else:
+            raise ParseError(f"unknown full-text function {name}")
+        cols.append(c_.alias(f"v{k}"))
+        types.append(t_)
+    return found.select("s", *cols), types
+
+
+def _weighted(term: str, prefix: bool):
+    return lambda a, t: a + t["weight"] * F.size(F.filter(t["w"], _is(term, prefix)))
+
+
+def _bm25(tf: list[Column], df: list[Column], n: Column, size: Column, mean: Column) -> Column:
+    score = F.lit(0.0)
+    for x, d in zip(tf, df):
+        score = score + F.log(1 + (n - d + 0.5) / (d + 0.5)) * x * (K1 + 1) / (x + K1 * (1 - B + B * size / mean))
+    return score
+
+
+def _local(prop: Column) -> Column:
+    return F.regexp_extract(prop, r"[^#/]*$", 0)
+
+
+def _offsets(asked) -> Column:
+    at = F.flatten(F.transform("_t", lambda t: F.filter(F.transform(t["w"], lambda w, i: F.when(_any(w, asked), F.concat(_local(t["prop"]), F.lit(","), i.cast("string")))), lambda x: x.isNotNull())))
+    return F.array_join(at, ",")
+
+
+def _snippet(words, asked, args: list) -> Column:
+    before, after = (args + [None, None])[:2]
+    ellipsis = args[2] if len(args) > 2 and args[2] is not None else "…"
+    n = int(args[3]) if len(args) > 3 and args[3] else 5
+    first = F.filter("_t", lambda t: F.exists(t["w"], lambda w: _any(w, asked)))[0]["text"]
+    raw = F.split(first, r"\s+")
+    hit = F.transform(raw, lambda w: F.exists(words(w), lambda x: _any(x, asked)))
+    start = F.greatest(F.array_position(hit, True).cast("int") - F.lit(n // 2), F.lit(1))
+    marked = F.transform(F.slice(raw, start, n), lambda w: F.when(F.exists(words(w), lambda x: _any(x, asked)), F.concat(F.lit(before or ""), w, F.lit(after or ""))).otherwise(w))
+    return F.concat(F.when(start > 1, ellipsis).otherwise(""), F.array_join(marked, " "), F.when(start + n <= F.size(raw), ellipsis).otherwise(""))
+
+
+# -- stored postings
 
 
-def _hit(w: Column, term: str, prefix: bool) -> Column:
-    return F.startswith(w, F.lit(term)) if prefix else w == term
+def index(c, scope) -> DataFrame:
+    """Postings (term, s, prop, tf, length) as a table of their own."""
+    return postings(c, scope).select("term", "s", "prop", F.size("at").cast("bigint").alias("tf"), "length")
 
 
-def function(c, name: str, args: list, scope):
-    """(s, v) of rank, offsets or snippet for the query's match, and v's type."""
-    text = getattr(c, "match_text", None)
-    if text is None:
-        raise ParseError(f"{name} needs a match in the same query")
-    how = analysis(c)
-    words = how.words
-    terms, phrases = parse(text, how)
-    every = terms + [w for p in phrases for w in p]
-    prefixed = {len(terms) - 1} if terms else set()
-    found = _matched(c, text, scope)
-    if name == "rank":
-        rows = texts(c, scope).withColumn("_words", _tokens(words))
-        stats = [F.count("*").alias("_n"), F.avg(F.size("_words")).alias("_avg")]
-        for k, w in enumerate(every):
-            stats.append(F.sum(F.exists("_words", _is(w, k in prefixed)).cast("int")).alias(f"_df{k}"))
-        total = rows.agg(*stats)  # one row
-        score = F.lit(0.0)
-        for k, w in enumerate(every):
-            tf = F.aggregate("texts", F.lit(0.0), _weighted(words, w, k in prefixed))
-            idf = F.log(1 + (F.col("_n") - F.col(f"_df{k}") + 0.5) / (F.col(f"_df{k}") + 0.5))
-            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size("_words") / F.col("_avg")))
-        return found.crossJoin(F.broadcast(total)).select("s", score.alias("v")), DOUBLE
-    if name == "offsets":
-        at = F.flatten(
-            F.transform(
-                F.filter("texts", lambda t: t["text"].isNotNull()),
-                lambda t: F.filter(
-                    F.transform(words(t["text"]), lambda w, i: F.when(_any(w, every, prefixed), F.concat(F.regexp_extract(t["prop"], r"[^#/]*$", 0), F.lit(","), i.cast("string")))),
-                    lambda x: x.isNotNull(),
-                ),
-            )
-        )
-        return found.select("s", F.array_join(at, ",").alias("v")), STRING
-    if name == "snippet":
-        before, after = (args + [None, None])[:2]
-        ellipsis = args[2] if len(args) > 2 and args[2] is not None else "…"
-        n = int(args[3]) if len(args) > 3 and args[3] else 5
-        first = F.filter("texts", lambda t: F.exists(words(F.coalesce(t["text"], F.lit(""))), lambda w: _any(w, every, prefixed)))[0]["text"]
-        raw = F.split(first, r"\s+")
-        hit = F.transform(raw, lambda w: F.exists(words(w), lambda x: _any(x, every, prefixed)))
-        start = F.greatest(F.array_position(hit, True).cast("int") - F.lit(n // 2), F.lit(1))
-        cut = F.slice(raw, start, n)
-        marked = F.transform(cut, lambda w: F.when(F.exists(words(w), lambda x: _any(x, every, prefixed)), F.concat(F.lit(before or ""), w, F.lit(after or ""))).otherwise(w))
-        text = F.concat(F.when(start > 1, ellipsis).otherwise(""), F.array_join(marked, " "), F.when(start + n <= F.size(raw), ellipsis).otherwise(""))
-        return found.select("s", text.alias("v")), STRING
-    raise ParseError(f"unknown full-text function {name}")
-
-
-def _any(w: Column, every: list[str], prefixed: set[int]) -> Column:
-    return reduce(lambda a, b: a | b, (_hit(w, x, k in prefixed) for k, x in enumerate(every)))
+def postings(c, scope) -> DataFrame:
+    """A row for each term of each text: its positions, the text's length and the resource's."""
+    rows = _tokenised(c, scope).withColumn("total", F.aggregate("_t", F.lit(0), lambda n, t: n + F.size(t["w"])))
+    rows = rows.select("s", "total", F.posexplode("_t").alias("part", "t")).select("s", "total", "part", F.col("t.prop").alias("prop"), F.col("t.weight").alias("weight"), F.size("t.w").alias("length"), F.posexplode("t.w").alias("i", "term"))
+    return rows.groupBy("term", "s", "part").agg(F.sort_array(F.collect_list("i")).alias("at"), *(F.any_value(x).alias(x) for x in ("prop", "weight", "length", "total")))
 
 
-def index(c, scope) -> DataFrame:
-    """Postings (term, s, prop, tf, length) to store as a table of their own."""
-    rows = texts(c, scope).select("s", F.explode("texts").alias("t")).where("t.text is not null")
-    rows = rows.select("s", F.col("t.prop").alias("prop"), analysis(c).words(F.col("t.text")).alias("w"))
-    rows = rows.select("s", "prop", F.size("w").alias("length"), F.explode("w").alias("term"))
-    return rows.groupBy("term", "s", "prop").agg(F.count("*").alias("tf"), F.any_value("length").alias("length"))
+@dataclass(frozen=True)
+class TextIndex:
+    """Postings sorted by term and the length of every resource's text, with the subjects changed since.
 
+    A search reads the files whose term ranges hold its words; subjects in
+    ``touched`` are read from the data instead until the index is merged.
+    """
 
-__all__ = ["Analysis", "function", "index", "parse", "search"]
+    postings: DataFrame
+    sizes: DataFrame
+    touched: DataFrame | None = None
+
+    @staticmethod
+    def build(c, scope, write) -> TextIndex:
+        """``write`` stores a DataFrame under a label and reads it again."""
+        table = write(postings(c, scope).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+        sizes = _tokenised(c, scope).select("s", F.aggregate("_t", F.lit(0), lambda n, t: n + F.size(t["w"])).alias("total"))
+        return TextIndex(table, write(sizes, "sizes"))
+
+    def changed(self, subjects: DataFrame) -> TextIndex:
+        return TextIndex(self.postings, self.sizes, subjects if self.touched is None else self.touched.union(subjects).distinct())
+
+    def current(self, c, scope) -> tuple[DataFrame, DataFrame]:
+        """Postings and sizes as the data is now."""
+        if self.touched is None:
+            return self.postings, self.sizes
+        fresh = _Only(c, self.touched)
+        size = F.aggregate("_t", F.lit(0), lambda n, t: n + F.size(t["w"])).alias("total")
+        cols = self.postings.columns
+        return self.postings.join(self.touched, "s", "left_anti").select(*cols).union(postings(fresh, scope).select(*cols)), self.sizes.join(self.touched, "s", "left_anti").union(_tokenised(fresh, scope).select("s", size))
+
+
+class _Only:
+    """A compiler whose texts are those of some subjects."""
+
+    def __init__(self, c, subjects: DataFrame):
+        self.c, self.subjects = c, subjects
+        self.data, self.onto = c.data, c.onto
+
+
+def _by_postings(c, stored: TextIndex, parsed: list, scope, calls: list) -> tuple[DataFrame, list]:
+    table, sizes = stored.current(c, scope)
+    asked = list(dict.fromkeys(_asked(parsed)))
+    hits = table.where(_any(F.col("term"), asked))
+    # One row a resource: weighted counts, and the positions of phrase words in each text.
+    counts = [F.sum(F.when(_hit(F.col("term"), *x), F.size("at")).otherwise(0) * F.col("weight")).alias(f"_tf{k}") for k, x in enumerate(asked)]
+    seen = [F.max(_hit(F.col("term"), *x)).alias(f"_in{k}") for k, x in enumerate(asked)]
+    place = F.collect_list(F.struct("part", "prop", "term", "at")).alias("_at")
+    by = hits.groupBy("s").agg(*counts, *seen, F.any_value("total").alias("_size"), place)
+    cond = F.lit(True)
+    for k in range(len(asked)):
+        cond = cond & F.col(f"_in{k}")
+    for _, phrases in parsed:
+        for p in phrases:
+            cond = cond & _follows(p)
+    found, cols, types = by.where(cond), [], []
+    for k, (name, _) in enumerate(calls):
+        if name == "rank":
+            whole = sizes.agg(F.count("*").alias("_n"), F.avg("total").alias("_avg"))
+            df = by.agg(*(F.count_if(F.col(f"_in{j}")).alias(f"_df{j}") for j in range(len(asked))))
+            found = found.crossJoin(F.broadcast(whole.crossJoin(df)))  # one row
+            words = [asked.index(x) for x in _asked(parsed)]
+            c_, t_ = _bm25([F.col(f"_tf{j}") for j in words], [F.col(f"_df{j}") for j in words], F.col("_n"), F.col("_size"), F.col("_avg")), DOUBLE
+        elif name == "offsets":
+            flat = F.flatten(F.transform("_at", lambda t: F.transform(t["at"], lambda i: F.struct(t["part"].alias("part"), i.alias("i"), t["prop"].alias("prop")))))
+            c_, t_ = F.array_join(F.transform(F.array_sort(flat), lambda x: F.concat(_local(x["prop"]), F.lit(","), x["i"].cast("string"))), ","), STRING
+        else:
+            raise ParseError(f"unknown full-text function {name}")
+        cols.append(c_.alias(f"v{k}"))
+        types.append(t_)
+    return found.select("s", *cols), types
+
+
+def _follows(words: list[str]) -> Column:
+    """Whether some text has the words one after another."""
+
+    def begins(word: str, shift: int, part: Column) -> Column:
+        here = F.filter("_at", lambda t: (t["part"] == part) & (t["term"] == word))
+        return F.flatten(F.transform(here, lambda t: F.transform(t["at"], lambda i: i - shift)))
+
+    def holds(part: Column) -> Column:
+        starts = [begins(w, k, part) for k, w in enumerate(words)]
+        return F.size(reduce(F.array_intersect, starts)) > 0
+
+    return F.exists(F.array_distinct(F.transform("_at", lambda t: t["part"])), holds)
+
+
+__all__ = ["Analysis", "TextIndex", "index", "parse", "search"]

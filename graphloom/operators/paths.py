@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
-from ..terms import IRI, TERM, T, common, convert, merged, to_term
+from ..terms import IRI, TERM, T, common, comparable, convert, merged, to_term
 
 
 
@@ -54,7 +54,7 @@ def _distinct(df: DataFrame, ts: T, to: T) -> DataFrame:
 
 def _sequence(a, b) -> tuple[DataFrame, T, T]:
     (l, ls, lo), (r, rs, ro) = a, b
-    t = common(lo, rs)
+    t = comparable(lo, rs)
     left = l.select("s", merged(convert(F.col("o"), lo, t), t).alias("_m"))
     right = r.select(merged(convert(F.col("s"), rs, t), t).alias("_m"), "o")
     return left.join(right, "_m").select("s", "o"), ls, ro

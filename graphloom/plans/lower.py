@@ -19,9 +19,9 @@ from ..errors import ParseError, QueryFailed, Unsupported
 from ..functions import builtins
 from ..operators import fts, paths
 from ..parser.ast import Query
-from ..terms import BOOLEAN, DOUBLE, INTEGER, IRI, NULL, STRING, TERM, T, common, convert, equal, less, literal, merged, null, to_lex, to_term, truth
+from ..terms import BOOLEAN, DOUBLE, INTEGER, IRI, NULL, STRING, TERM, T, common, convert, equal, less, literal, merged, null, order_key, to_lex, to_term, truth
 from ..vocab import DEFAULT_GRAPH, FN, FTS, GL, RDF, XSD
-from .solutions import Sol, fresh, join, minus, semi, union
+from .solutions import Sol, flagged, fresh, join, minus, semi, union
 
 
 @dataclass(frozen=True)
@@ -56,6 +56,10 @@ class Scope:
             cond = named if cond is None else cond & named
         return cond
 
+    @property
+    def unrestricted(self) -> bool:
+        return self == Scope()
+
     @property
     def several(self) -> bool:
         """Whether the same triple may be seen in more than one graph."""
@@ -74,6 +78,9 @@ class Compiler:
         #: Prefixes that a bound variable's IRIs surely have, so that only their tables are read.
         self.hints: dict[str, set[str]] = {}
         self.uses: dict[str, int] | None = None
+        #: Texts that each subject variable is matched with.
+        self.matches: dict[str, list[str]] = {}
+        self.calls: dict[str, list] = {}
 
     # -- whole queries
 
@@ -87,6 +94,7 @@ class Compiler:
     def run(self, q: Query) -> DataFrame:
         scope = self.scope_of(q)
         self.uses = None if q.star else _uses(q)
+        self.calls = _fts_calls(q)
         if q.form == "select":
             sol, names = self.select(q, scope)
             return self.final(sol, names)
@@ -205,9 +213,13 @@ class Compiler:
                 sol = sol.extend(name, c, t)
             names.append(name)
         for e in having:
+            e, sol = self.with_scalars(e, sol, scope)
             c, t = self.expr(e, sol, scope)
             sol = sol.where(truth(c, t))
         if order:
+            for k, (e, down) in enumerate(order):
+                e, sol = self.with_scalars(e, sol, scope)
+                order[k] = (e, down)
             keys = self.order_keys(replace(q, order_by=order), sol)
             if q.distinct:
                 sol = self.distinct(sol, names)
@@ -226,7 +238,12 @@ class Compiler:
         keys = []
         for e, down in q.order_by:
             c, t = self.expr(e, sol, Scope())
-            if t.kind in ("string", "lang", "term"):
+            if t.kind == "term":
+                k = order_key(c)
+                parts = [k["rank"], k["number"], k["whole"], k["at"], F.collate(k["text"], "UNICODE")]
+                keys += [x.desc_nulls_last() if down else x.asc_nulls_first() for x in parts]
+                continue
+            if t.kind in ("string", "lang"):
                 c = F.collate(to_lex(c, t), "UNICODE")
             elif t.kind == "key":
                 c = to_lex(c, t)
@@ -309,6 +326,8 @@ class Compiler:
         c, t = self.expr(arg, sol, scope)
         if name == "COUNT":
             return (F.count_distinct(merged(c, t)) if distinct else F.count(c)), INTEGER
+        if name == "SUM" and t is TERM:
+            return self.term_sum(c, distinct), TERM
         if name in ("SUM", "AVG"):
             n = c if t.numeric else convert(c, t, DOUBLE) if t is TERM else null(DOUBLE)
             kind = t if t.numeric else DOUBLE
@@ -319,8 +338,10 @@ class Compiler:
             return F.coalesce(mean, F.lit(0.0)), DOUBLE
         if name in ("MIN", "MAX"):
             f = F.min if name == "MIN" else F.max
-            if t.kind in ("term", "key"):
-                return (f(to_lex(c, t)), IRI if t.kind == "key" else STRING)
+            if t.kind == "term":
+                return (F.min_by if name == "MIN" else F.max_by)(c, order_key(c)), TERM
+            if t.kind == "key":
+                return f(to_lex(c, t)), IRI
             return f(c), t
         if name == "SAMPLE":
             return F.any_value(c, F.lit(True)), t
@@ -328,6 +349,14 @@ class Compiler:
         values = F.sort_array(F.collect_set(lex) if distinct else F.collect_list(lex))
         return F.array_join(values, sep if sep is not None else ","), STRING
 
+    @staticmethod
+    def term_sum(c: Column, distinct: bool) -> Column:
+        """A sum of terms is whole if all its numbers are."""
+        add = F.sum_distinct if distinct else F.sum
+        whole, broken = F.when(c["kind"] == "integer", c["lex"].try_cast("bigint")), convert(c, TERM, DOUBLE)
+        literal_of = lambda kind, n: F.struct(F.lit(kind).alias("kind"), n.cast("string").alias("lex"), F.lit(None).cast("string").alias("lang"))
+        return F.when(F.max(F.when(c["kind"] == "double", 1)).isNull(), literal_of("integer", F.coalesce(add(whole), F.lit(0)))).otherwise(literal_of("double", F.coalesce(add(broken), F.lit(0.0))))
+
     # -- patterns
 
     def unit(self) -> Sol:
@@ -455,7 +484,10 @@ class Compiler:
 
     def bgp(self, triples: list, scope: Scope) -> Sol:
         triples = [self.settled(t) for t in triples]
-        matches = {t[0]: t[2] for t in triples if t[1] == ("p", FTS + "match")}
+        matches: dict[tuple, list] = {}
+        for t in triples:
+            if t[1] == ("p", FTS + "match"):
+                matches.setdefault(t[0], []).append(t[2])
         triples = [t for t in triples if t[1] != ("p", FTS + "match")]
         stars: dict[tuple, list] = {}
         parts: list[Sol] = []
@@ -470,8 +502,8 @@ class Compiler:
         self.hints = outer | self.ranges(stars) if self.data.stored is None else {}
         parts = [self.star(s, po, scope) for s, po in stars.items()] + parts
         self.hints = outer
-        for s, text in matches.items():
-            parts.append(self.match(s, text, scope))
+        for s, texts in matches.items():
+            parts.append(self.match(s, texts, scope))
         if not parts:
             return self.unit()
         sol, rest = parts[0], parts[1:]
@@ -684,10 +716,15 @@ class Compiler:
         df, ts, to = paths.pairs(self, p, scope, s if s[0] != "var" else None, o if o[0] != "var" else None)
         return self.bind_columns(df, [(s, F.col("s"), ts), (o, F.col("o"), to)])
 
-    def match(self, s, text, scope: Scope) -> Sol:
-        found = fts.search(self, self.text_of(text), scope)
-        sol = self.bind_columns(found, [(s, F.col("s"), IRI)])
-        return sol
+    def match(self, s, texts: list, scope: Scope) -> Sol:
+        texts = [self.text_of(t) for t in texts]
+        calls = []
+        if s[0] == "var":
+            self.matches[s[1]] = texts
+            calls = self.calls.get(s[1], [])
+        found, types = fts.search(self, texts, scope, calls)
+        made = [(("var", _fts_name(s[1], *call)), F.col(f"v{k}"), types[k]) for k, call in enumerate(calls)]
+        return self.bind_columns(found, [(s, F.col("s"), IRI), *made])
 
     def text_of(self, term) -> str:
         if term[0] == "param":
@@ -710,18 +747,23 @@ class Compiler:
 
     def exists(self, elements: list, negated: bool, sol: Sol, scope: Scope) -> Sol:
         """A semi or anti join; filters on outer variables join the condition."""
+        inner, cond = self.tested(elements, sol, scope)
+        return semi(sol, inner, negated, cond)
+
+    def tested(self, elements: list, sol: Sol, scope: Scope) -> tuple[Sol, Column | None]:
+        """The solutions that an EXISTS looks for, and its filters on outer variables."""
         inner, filters = self.body(elements, scope)
         late = [f for f in filters if not _vars(f) <= set(inner.vars) and not _has(f, "exists")]
         for f in filters:
             if f not in late:
                 inner = self.filtered(f, inner, scope)
         inner = inner.renamed()
+        both = _Both(sol, inner)
         cond = None
-        both = Sol(sol.df, sol.vars | {v: c for v, c in inner.vars.items() if v not in sol.vars}, frozenset())
         for f in late:
             c = truth(*self.expr(f, both, scope))
             cond = c if cond is None else cond & c
-        return semi(sol, inner, negated, cond)
+        return inner, cond
 
     def with_scalars(self, e, sol: Sol, scope: Scope):
         """Replaces EXISTS, scalar sub-queries and property functions by columns joined in."""
@@ -732,14 +774,11 @@ class Compiler:
                 return [walk(y) for y in x] if isinstance(x, list) else x
             if x and x[0] == "exists":
                 sol = state[0]
-                inner = self.group(x[1], scope).renamed()
-                shared = [v for v in inner.vars if v in sol.vars]
+                inner, cond = self.tested(x[1], replace(sol, outer=True), scope)
                 flag = fresh("flag")
-                keys = inner.keep(shared)
-                keys = Sol(keys.df.distinct().withColumn(flag, F.lit(True)), keys.vars, keys.bound) if shared else Sol(inner.df.limit(1).select(F.lit(True).alias(flag)))
                 name = f".exists{flag}"
-                state[0] = join(sol, Sol(keys.df, keys.vars | {name: (flag, BOOLEAN)}, keys.bound), "left")
-                test = ("call", "BOUND", [("term", ("var", name))])
+                state[0] = Sol(flagged(sol, inner, flag, cond), sol.vars | {name: (flag, BOOLEAN)}, sol.bound)
+                test = ("term", ("var", name))
                 return ("not", test) if x[2] else test
             if x and x[0] == "scalar":
                 sub, names = self.select(x[1], scope)
@@ -788,14 +827,17 @@ class Compiler:
         return ("term", ("var", f".{name}"))
 
     def fts_call(self, x, state: list[Sol], scope: Scope):
-        var = x[2][0][1][1]
-        constants = [a[1][1] if a[0] == "term" and a[1][0] == "lit" else None for a in x[2][1:]]
-        df, t = fts.function(self, x[1][len(FTS) :], constants, scope)
-        s, v = fresh("s"), fresh("v")
-        name = f".fts{v}"
-        df = df.select(F.col("s").alias(s), F.col("v").alias(v))
-        state[0] = join(state[0], Sol(df, {var: (s, IRI), name: (v, t)}, frozenset([var])), "left")
-        return ("term", ("var", name))
+        """A full-text function's value: made beside its match, or joined in where that is out of reach."""
+        var, name, constants = _fts_call(x)
+        hidden = _fts_name(var, name, constants)
+        if hidden not in state[0].vars:
+            if var not in self.matches:
+                raise ParseError(f"{name} needs a match of ?{var} in the same query")
+            df, types = fts.search(self, self.matches[var], scope, [(name, constants)])
+            s, v = fresh("s"), fresh("v")
+            df = df.select(F.col("s").alias(s), F.col("v0").alias(v))
+            state[0] = join(state[0], Sol(df, {var: (s, IRI), hidden: (v, types[0])}, frozenset([var])), "left")
+        return ("term", ("var", hidden))
 
     def expr(self, e, sol: Sol, scope: Scope) -> tuple[Column, T]:
         kind = e[0]
@@ -854,6 +896,20 @@ class Compiler:
         return builtins.build(name, [self.expr(x, sol, scope) for x in args])
 
 
+class _Both:
+    """Variables of two sequences as an expression sees them; the first one's go first."""
+
+    def __init__(self, first: Sol, second: Sol):
+        self.first, self.second = first, second
+        self.vars = second.vars | first.vars
+
+    def col(self, v: str) -> Column:
+        return (self.first if v in self.first.vars else self.second).col(v)
+
+    def type(self, v: str) -> T:
+        return self.vars[v][1]
+
+
 def _python_literal(v) -> tuple[str, str | None, str | None]:
     if isinstance(v, tuple):
         return v[0], None, v[1]
@@ -886,6 +942,35 @@ def _uses(q: Query) -> dict[str, int]:
     return out
 
 
+def _fts_call(x) -> tuple[str, str, list]:
+    """Variable, name and constant arguments of a full-text function."""
+    return x[2][0][1][1], x[1][len(FTS) :], [a[1][1] if a[0] == "term" and a[1][0] == "lit" else None for a in x[2][1:]]
+
+
+def _fts_name(var: str, name: str, constants: list) -> str:
+    return f".fts {var} {name} {constants}"
+
+
+def _fts_calls(q: Query) -> dict[str, list]:
+    """The full-text functions that a query calls, by variable."""
+    out: dict[str, list] = {}
+
+    def walk(x) -> None:
+        if isinstance(x, Query):
+            for y in vars(x).values():
+                walk(y)
+        elif isinstance(x, tuple) and len(x) == 3 and x[0] == "call" and isinstance(x[1], str) and x[1].startswith(FTS):
+            var, name, constants = _fts_call(x)
+            if (name, constants) not in out.setdefault(var, []):
+                out[var].append((name, constants))
+        elif isinstance(x, (tuple, list)):
+            for y in x:
+                walk(y)
+
+    walk(q)
+    return out
+
+
 def _has(e, kind: str) -> bool:
     return isinstance(e, tuple) and bool(e) and (e[0] == kind or any(_has(x, kind) for x in e)) or isinstance(e, list) and any(_has(x, kind) for x in e)
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import itertools
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..terms import T, common, convert, equal, merged, null
+from ..terms import T, common, comparable, convert, equal, merged, null
 
 _ids = itertools.count()
 
@@ -24,9 +25,12 @@ class Sol:
     df: DataFrame
     vars: dict[str, tuple[str, T]] = field(default_factory=dict)
     bound: frozenset[str] = frozenset()
+    #: Whether columns are those of the query around a correlated sub-query.
+    outer: bool = False
 
     def col(self, v: str) -> Column:
-        return F.col(self.vars[v][0])
+        c = F.col(self.vars[v][0])
+        return c.outer() if self.outer else c
 
     def type(self, v: str) -> T:
         return self.vars[v][1]
@@ -50,27 +54,89 @@ class Sol:
         return Sol(df, {v: self.vars[v] for v in have}, self.bound & set(have))
 
 
-def _match(l: Sol, r: Sol, shared: list[str]) -> Column | None:
-    """Join condition: equal, or compatible where one side may be unbound."""
-    cond = None
-    for v in shared:
-        (a, ta), (b, tb) = l.vars[v], r.vars[v]
-        ca, cb = F.col(a), F.col(b)
-        t = common(ta, tb)
-        same = merged(convert(ca, ta, t), t) == merged(convert(cb, tb, t), t) if "null" not in (ta.kind, tb.kind) else F.lit(True)
+def _typed(l: Sol, r: Sol, shared: list[str]) -> dict[str, T]:
+    """Types in which shared variables compare; those that a side never binds are left out."""
+    return {v: comparable(l.type(v), r.type(v)) for v in shared if "null" not in (l.type(v).kind, r.type(v).kind)}
+
+
+def _match(l: Sol, r: Sol, shared: list[str]) -> Column:
+    """Equality, or compatibility where one side may be unbound, of shared variables."""
+    cond = F.lit(True)
+    for v, t in _typed(l, r, shared).items():
+        ca, cb = l.col(v), r.col(v)
+        same = merged(convert(ca, l.type(v), t), t) == merged(convert(cb, r.type(v), t), t)
         if not (v in l.bound and v in r.bound):
             same = ca.isNull() | cb.isNull() | same
-        cond = same if cond is None else cond & same
+        cond = cond & same
     return cond
 
 
+def _mask(s: Sol, loose: list[str]) -> Column:
+    """Which of the variables a row binds, as bits."""
+    return sum((F.when(s.col(v).isNotNull(), 1 << k).otherwise(0) for k, v in enumerate(loose)), F.lit(0))
+
+
+def _meeting(l: Sol, r: Sol, shared: list[str]) -> tuple[DataFrame, DataFrame, Column | None]:
+    """Both sides and an equi join condition for compatible rows.
+
+    Where variables may be unbound, a row is keyed once for each set of
+    variables that rows of the other side may bind: by that set, its own set
+    and the values that both bind. Only ``r`` is repeated if ``l`` alone has
+    such variables, so any kind of join may then use the condition.
+    """
+    types = _typed(l, r, shared)
+    loose_l, loose_r = ([v for v in types if v not in s.bound] for s in (l, r))
+    if not loose_l and not loose_r:
+        return l.df, r.df, _match(l, r, shared) if types else None
+
+    def keyed(s: Sol, own: list[str], other: list[str], left: bool) -> tuple[DataFrame, list[str]]:
+        mine, theirs = fresh("bits"), fresh("bits")
+        every = F.explode(F.sequence(F.lit(0), F.lit((1 << len(other)) - 1))) if other else F.lit(0)
+        df = s.df.withColumn(mine, _mask(s, own)).withColumn(theirs, every)
+        names = [mine, theirs] if left else [theirs, mine]
+        for v, t in types.items():
+            value = merged(convert(s.col(v), s.type(v), t), t)
+            if v in other:
+                value = F.when(F.col(theirs).bitwiseAND(1 << other.index(v)) != 0, value)
+            names.append(fresh(v))
+            df = df.withColumn(names[-1], value)
+        return df, names
+
+    ldf, a = keyed(l, loose_l, loose_r, True)
+    rdf, b = keyed(r, loose_r, loose_l, False)
+    cond = F.lit(True)
+    for x, y in zip(a, b):
+        cond = cond & F.col(x).eqNullSafe(F.col(y))
+    return ldf, rdf, cond
+
+
+def _bindings(l: Sol, r: Sol) -> list[Sol]:
+    """``r`` cut by the shared variables that its rows bind, so that each part surely binds its own."""
+    loose = [v for v in r.vars if v in l.vars and v not in r.bound and "null" not in (l.type(v).kind, r.type(v).kind)]
+    if not loose:
+        return [r]
+    out = []
+    for bits in range(1 << len(loose)):
+        have = {v for k, v in enumerate(loose) if bits >> k & 1}
+        part = r.where(_mask(r, loose) == bits)
+        out.append(Sol(part.df, {v: c for v, c in r.vars.items() if v in have or v not in loose}, r.bound | have))
+    return out
+
+
 def join(l: Sol, r: Sol, how: str = "inner", condition: Column | None = None) -> Sol:
     """Join on all shared variables; for a left join, also on ``condition``."""
+    if how == "left" and len(parts := _bindings(l, r)) > 1:
+        alone = l
+        for part in parts:
+            alone = semi(alone, part, True, condition)
+        # The rows that meet none keep their left values; names are made apart before both are united.
+        return union(join(l, r, "matched", condition), alone.renamed())
     shared = [v for v in l.vars if v in r.vars]
-    cond = _match(l, r, shared)
+    ldf, rdf, cond = _meeting(l, r, shared)
     if condition is not None:
         cond = condition if cond is None else cond & condition
-    df = l.df.crossJoin(r.df) if cond is None and how == "inner" else l.df.join(r.df, cond if cond is not None else F.lit(True), how)
+    kind = "inner" if how == "matched" else how
+    df = ldf.crossJoin(rdf) if cond is None and kind == "inner" else ldf.join(rdf, cond if cond is not None else F.lit(True), kind)
     out, bound = dict(l.vars), l.bound
     for v in r.vars:
         if v not in l.vars:
@@ -81,32 +147,48 @@ def join(l: Sol, r: Sol, how: str = "inner", condition: Column | None = None) ->
             column = fresh(v)
             df = df.withColumn(column, F.coalesce(convert(l.col(v), l.type(v), t), convert(r.col(v), r.type(v), t)))
             out[v] = (column, t)
-    if how == "inner":
+    if kind == "inner":
         bound = bound | r.bound
     return Sol(df, out, bound).keep(list(out)) if shared else Sol(df, out, bound)
 
 
 def semi(l: Sol, r: Sol, negated: bool, condition: Column | None = None) -> Sol:
     """Rows of ``l`` with (or without) a compatible row of ``r``."""
-    cond = _match(l, r, [v for v in l.vars if v in r.vars])
+    parts = _bindings(l, r)
+    if len(parts) > 1:
+        if negated:
+            for part in parts:
+                l = semi(l, part, True, condition)
+            return l
+        rest, found = l, []
+        for part in parts:
+            found.append(semi(rest, part, False, condition).df.select(*l.df.columns))
+            rest = semi(rest, part, True, condition)
+        return Sol(reduce(DataFrame.union, found), l.vars, l.bound)
+    ldf, rdf, cond = _meeting(l, r, [v for v in l.vars if v in r.vars])
     if condition is not None:
         cond = condition if cond is None else cond & condition
-    return Sol(l.df.join(r.df, cond if cond is not None else F.lit(True), "left_anti" if negated else "left_semi"), l.vars, l.bound)
+    return Sol(ldf.join(rdf, cond if cond is not None else F.lit(True), "left_anti" if negated else "left_semi").select(*l.df.columns), l.vars, l.bound)
+
+
+def flagged(l: Sol, r: Sol, flag: str, condition: Column | None = None) -> DataFrame:
+    """``l`` with a column that tells whether a compatible row of ``r`` exists."""
+    out = Sol(l.df, l.vars, l.bound, outer=True)
+    cond = _match(out, r, [v for v in l.vars if v in r.vars])
+    return l.df.withColumn(flag, r.df.where(cond if condition is None else cond & condition).exists())
 
 
 def minus(l: Sol, r: Sol) -> Sol:
     """Rows of ``l`` without a compatible row of ``r`` that shares a bound variable."""
-    shared = [v for v in l.vars if v in r.vars]
-    if not shared:
-        return l
-    cond = _match(l, r, shared)
-    if not any(v in l.bound and v in r.bound for v in shared):
+    for part in _bindings(l, r):
+        shared = [v for v in _typed(l, part, [v for v in l.vars if v in part.vars])]
+        if not shared:
+            continue
         some = None
-        for v in shared:
-            both = l.col(v).isNotNull() & r.col(v).isNotNull()
-            some = both if some is None else some | both
-        cond = cond & some
-    return Sol(l.df.join(r.df, cond, "left_anti"), l.vars, l.bound)
+        if not any(v in l.bound for v in shared):
+            some = reduce(lambda a, b: a | b, (l.col(v).isNotNull() for v in shared))
+        l = semi(l, part, True, some)
+    return l
 
 
 def union(l: Sol, r: Sol) -> Sol:
@@ -127,4 +209,4 @@ def union(l: Sol, r: Sol) -> Sol:
     return Sol(left.union(right), out, l.bound & r.bound)
 
 
-__all__ = ["Sol", "fresh", "join", "semi", "minus", "union", "equal"]
+__all__ = ["Sol", "fresh", "join", "semi", "minus", "union", "equal", "flagged"]

@@ -158,24 +158,32 @@ def convert(c: Column, t: T, to: T) -> Column:
 
 
 def common(a: T, b: T) -> T:
-    """A type that holds values of both without loss."""
+    """A type that holds values of both without loss: whole numbers beside doubles are terms."""
     if a == b or b.kind == "null":
         return a
     if a.kind == "null":
         return b
-    if a.numeric and b.numeric:
-        return DOUBLE
     if a.resource and b.resource and "bnode" not in (a.kind, b.kind):
         return IRI
     return TERM
 
 
+def comparable(a: T, b: T) -> T:
+    """A type in which equal values of both are equal."""
+    return DOUBLE if a != b and a.numeric and b.numeric else common(a, b)
+
+
+#: Whole numbers up to here are doubles without loss.
+_EXACT = 1 << 53
+
+
 def merged(c: Column, t: T) -> Column:
     """Key under which equal values are equal: dateTime by instant, numbers of terms by value."""
     if t.kind == "dateTime":
         return c["ts"]
     if t.kind == "term":
-        number = F.when(c["kind"].isin("integer", "double"), c["lex"].try_cast("double").cast("string"))
+        whole = c["lex"].try_cast("bigint")
+        number = F.when((c["kind"] == "integer") & ~whole.between(-_EXACT, _EXACT), whole.cast("string")).when(c["kind"].isin("integer", "double"), c["lex"].try_cast("double").cast("string"))
         return F.concat_ws("\x00", F.when(c["kind"].isin("integer", "double"), "number").when(c["kind"].isin("iri", "bnode"), "node").otherwise(c["kind"]), F.coalesce(number, c["lex"]), c["lang"])
     return c
 
@@ -185,7 +193,7 @@ def equal(a: Column, ta: T, b: Column, tb: T) -> Column:
         return F.lit(None).cast("boolean")
     if ta.kind == "lang" and tb.kind == "lang":
         return (a["value"] == b["value"]) & (a["lang"] == b["lang"])
-    t = common(ta, tb)
+    t = comparable(ta, tb)
     if t.kind == "term" and {ta.kind, tb.kind} == {"date", "dateTime"}:
         t = DATETIME
     x, y = convert(a, ta, t), convert(b, tb, t)
@@ -193,6 +201,35 @@ def equal(a: Column, ta: T, b: Column, tb: T) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), same) if t.kind == "term" else same
 
 
+def order_key(c: Column) -> Column:
+    """Sort key of a term: nodes before literals, numbers by value, dates by instant, the rest as text."""
+    k, lex = c["kind"], c["lex"]
+    rank = F.when(k == "bnode", 0).when(k == "iri", 1).when(k.isin("integer", "double"), 2).when(k.isin("date", "dateTime"), 3).when(k == "boolean", 4).otherwise(5)
+    return F.when(
+        k.isNotNull(),
+        F.struct(
+            rank.alias("rank"),
+            F.when(rank == 2, lex.try_cast("double")).alias("number"),
+            F.when(k == "integer", lex.try_cast("bigint")).alias("whole"),
+            F.when(rank == 3, parse_datetime(lex)["ts"]).alias("at"),
+            F.when(rank != 2, lex).alias("text"),
+        ),
+    )
+
+
+def _less_terms(op: str, a: Column, b: Column) -> Column:
+    """Comparison of terms: numbers, dates, truth values, texts and nodes each among themselves."""
+    x, y = order_key(a), order_key(b)
+    group = lambda k: F.greatest(k["rank"], F.lit(1))
+    whole = x["whole"].isNotNull() & y["whole"].isNotNull()
+
+    def test(p: Column, q: Column) -> Column:
+        return {"<": p < q, ">": p > q, "<=": p <= q, ">=": p >= q}[op]
+
+    value = F.when(whole, test(x["whole"], y["whole"])).when(x["rank"] == 2, test(x["number"], y["number"])).when(x["rank"] == 3, test(x["at"], y["at"])).otherwise(test(x["text"], y["text"]))
+    return F.when(group(x) == group(y), value)
+
+
 def less(op: str, a: Column, ta: T, b: Column, tb: T) -> Column:
     """Order comparison; incomparable kinds are unbound."""
     if "null" in (ta.kind, tb.kind):
@@ -208,7 +245,7 @@ def less(op: str, a: Column, ta: T, b: Column, tb: T) -> Column:
         if ta.kind == "boolean" and tb.kind == "boolean":
             x, y = a, b
         elif "term" in (ta.kind, tb.kind):
-            x, y = convert(a, ta, STRING) if ta.kind == "term" else to_lex(a, ta), convert(b, tb, STRING) if tb.kind == "term" else to_lex(b, tb)
+            return _less_terms(op, to_term(a, ta), to_term(b, tb))
         elif ta.numeric or tb.numeric or ta.kind in ("date", "dateTime", "boolean") or tb.kind in ("date", "dateTime", "boolean"):
             return F.lit(None).cast("boolean")
         else:
