@@ -1,8 +1,11 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND.
 
 The test items form an inverted index; every passage of every document is a
-query. Impacts are BM25 divided by the item's score for its own text, so one
-threshold serves all items. Each posting list is cut into blocks of items with
+query. Impacts are BM25 divided by the item's score for its own text and by the
+share of it that retrieval asks for, so one threshold serves all items. That
+share is ``THRESHOLD``, or less where a passage with the words that the check
+below asks for could score less: an item whose score lies in a few rare words
+is found without them. So retrieval loses nothing that the check confirms. Each posting list is cut into blocks of items with
 the largest impact in each. A passage first sums its terms' block maxima: only
 blocks that reach the threshold are walked by WAND over the terms they hold; it
 skips on list bounds and block maxima, and every item over the threshold is retrieved. There is no
@@ -19,9 +22,10 @@ the passages of short ones. Passages overlap by the longest item of a class, so
 an item lies whole in some passage. The index is cut into shards of at most
 ``SHARD`` items, fewer where items are longer; documents meet each
 shard in turn, so memory is bounded by a shard or one item, and every item is
-used. The sizes of the test set are checked: where its text exceeds
-``MAX_BENCHMARK_BYTES``, it is read and applied in parts of about that size,
-scored by the statistics of the whole.
+used. Lists and block maxima are sparse, so an index takes a bounded multiple
+of its text; where the text of the test set exceeds ``MAX_BENCHMARK_BYTES``, it
+is read and applied in parts of about that size, scored by the statistics of
+the whole.
 
 Defined cases: null and empty texts hold no item; items without words are
 skipped; items with fewer than five words count as one shingle; an item given
@@ -32,11 +36,13 @@ columns are ignored. Rows come back for leaks only.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -55,7 +61,8 @@ SHARD = 1024
 SEGMENT = 512
 #: Words of the longest item of the first length class.
 MAX_ITEM_WORDS = 256
-MAX_BENCHMARK_BYTES = 64 << 20
+#: Text of the test set that is indexed and broadcast at once.
+MAX_BENCHMARK_BYTES = 16 << 20
 K1, B = 1.2, 0.75
 
 
@@ -99,6 +106,24 @@ def length_class(words: int) -> int:
     return (max(1, (words + MAX_ITEM_WORDS - 1) // MAX_ITEM_WORDS) - 1).bit_length()
 
 
+def least_share(item: Item, tf: Counter, raw: dict[bytes, float]) -> float:
+    """Share of its own score that an item keeps in any passage with OVERLAP of
+    its question's and of its answer's words.
+
+    The words that such a passage lacks number at most what both may miss; the
+    best use of that number, words counted in parts, bounds what is lost.
+    """
+    spare = float(sum(len(x) - ceil(OVERLAP * len(x) - 1e-9) for x in (item.question, item.answer)))
+    kept = own = sum(raw.values())
+    for w in sorted(raw, key=lambda w: -raw[w] / tf[w]):
+        gone = min(1.0, spare / tf[w])
+        kept -= raw[w] * gone
+        spare -= gone * tf[w]
+        if spare <= 0:
+            break
+    return max(kept / own, 1e-6)
+
+
 class Index:
     """Inverted lists of impacts over one shard of items, with block maxima.
 
@@ -109,27 +134,41 @@ class Index:
         self.stride = stride
         self.terms: dict[bytes, int] = {}
         self.blocks = (len(items) + BLOCK - 1) // BLOCK
+        #: Share of an item's own score that retrieval asks for.
+        self.least: list[float] = []
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for k, item in enumerate(items):
             tf = Counter(item.words)
             raw = {}
             for w, c in tf.items():
                 idf = np.log(1 + (total - df[w] + 0.5) / (df[w] + 0.5))
-                raw[w] = idf * c * (K1 + 1) / (c + K1 * (1 - B + B * len(item.words) / mean))
+                raw[w] = float(idf * c * (K1 + 1) / (c + K1 * (1 - B + B * len(item.words) / mean)))
             own = sum(raw.values())
+            self.least.append(min(THRESHOLD, least_share(item, tf, raw)))
             for w, s in raw.items():
-                lists[self.terms.setdefault(w, len(self.terms))].append((k, s / own))
-        self.postings = [lists[t] for t in range(len(self.terms))]
-        #: maxima[term, block]: largest impact of the term in the block.
-        self.maxima = np.zeros((len(self.terms), self.blocks), np.float32)
-        for t, posting in enumerate(self.postings):
-            for k, s in posting:
-                self.maxima[t, k // BLOCK] = max(self.maxima[t, k // BLOCK], s)
-        #: Largest impact of each list.
-        self.tops = self.maxima.max(axis=1, initial=0).tolist()
-        self.shingles = [shingles(list(i.words)) for i in items]
-
-    def retrieve(self, terms: list[int], allowed: set[int], threshold: float) -> list[tuple[int, float]]:
+                lists[self.terms.setdefault(w, len(self.terms))].append((k, s / own / self.least[k]))
+        self.postings = [(array("i", (k for k, _ in lists[t])), array("d", (s for _, s in lists[t]))) for t in range(len(self.terms))]
+        #: Largest impact of each list, and of each of its blocks by rows of a sparse matrix.
+        self.tops = [max(impacts) for _, impacts in self.postings]
+        starts, blocks, highest = [0], [], []
+        for ids, impacts in self.postings:
+            best: dict[int, float] = {}
+            for k, s in zip(ids, impacts):
+                best[k // BLOCK] = max(best.get(k // BLOCK, 0.0), s)
+            blocks += best
+            highest += best.values()
+            starts.append(len(blocks))
+        self.starts, self.block_of, self.highest = np.array(starts), np.array(blocks, np.int32), np.array(highest, np.float32)
+
+    def maxima(self, terms: np.ndarray) -> np.ndarray:
+        """maxima[term, block] of some terms: largest impact of the term in the block."""
+        size = self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(self.starts[terms] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        out = np.zeros((len(terms), self.blocks), np.float32)
+        out[np.repeat(np.arange(len(terms)), size), self.block_of[at]] = self.highest[at]
+        return out
+
+    def retrieve(self, terms: list[int], allowed: set[int], threshold: float, maxima: np.ndarray | None = None) -> list[tuple[int, float]]:
         """Block-max WAND: items with impacts summing to the threshold or more.
 
         ``allowed`` are the blocks whose bound reaches it. Cursors stay sorted
@@ -137,21 +176,23 @@ class Index:
         threshold. A pivot outside the allowed blocks moves all cursors to the
         next of them, one whose block bounds fall short moves them past it.
         """
-        lists = [(self.postings[t], self.maxima[t]) for t in terms]
+        if maxima is None:
+            maxima = self.maxima(np.array(terms, np.int64))
+        lists = [self.postings[t] for t in terms]
         bounds = [self.tops[t] for t in terms]
         open_blocks = sorted(allowed)
         at = [0] * len(lists)
         done = len(self.items)
-        where = [p[0][0] if p else done for p, _ in lists]
+        where = [ids[0] for ids, _ in lists]
         out: list[tuple[int, float]] = []
         eps = 1e-6
 
         def skip(k: int, target: int) -> None:
             posting, i = lists[k][0], at[k]
-            while i < len(posting) and posting[i][0] < target:
+            while i < len(posting) and posting[i] < target:
                 i += 1
             at[k] = i
-            where[k] = posting[i][0] if i < len(posting) else done
+            where[k] = posting[i] if i < len(posting) else done
 
         order = list(range(len(lists)))
         while True:
@@ -176,7 +217,7 @@ class Index:
                     if where[k] < target:
                         skip(k, target)
                 continue
-            if sum(float(lists[k][1][block]) for k in order if where[k] <= pivot) < threshold - eps:
+            if sum(float(maxima[k, block]) for k in order if where[k] <= pivot) < threshold - eps:
                 for k in order:
                     if where[k] <= pivot:
                         skip(k, pivot + 1)
@@ -186,7 +227,7 @@ class Index:
                 if where[k] < pivot:
                     skip(k, pivot)
                 if where[k] == pivot:
-                    score += lists[k][0][at[k]][1]
+                    score += lists[k][1][at[k]]
                     skip(k, pivot + 1)
             if score >= threshold - eps:
                 out.append((pivot, score))
@@ -227,13 +268,14 @@ class Benchmark:
             classes[length_class(len(i.words))].append(i)
         shards = []
         for c, own in sorted(classes.items()):
-            size, stride = max(1, SHARD >> c), max(32, stats.longest[c])
+            # A quarter more than the longest item, for words put into a copy.
+            size, stride = max(1, SHARD >> c), max(32, stats.longest[c] + stats.longest[c] // 4)
             shards += [Index(own[k : k + size], stats.df, stats.total, stats.mean, stride) for k in range(0, len(own), size)]
         return cls(shards)
 
-    def _passages(self, index: Index, ids: np.ndarray, chunk: np.ndarray, threshold: float) -> Iterator[tuple[int, list[int], set[int]]]:
+    def _passages(self, index: Index, ids: np.ndarray, chunk: np.ndarray, threshold: float) -> Iterator[tuple[int, list[int], set[int], np.ndarray]]:
         """Passages with a block whose maxima sum to the threshold: (passage, the
-        terms that those blocks hold, those blocks).
+        terms that those blocks hold, those blocks, the terms' maxima).
 
         Passage p covers the words of chunks p and p + 1; a term counts once in
         it. Long documents go in segments, so memory does not grow with them.
@@ -251,14 +293,14 @@ class Benchmark:
             held = np.zeros((n + 1, len(terms)), np.float32)
             held[chunk[a:b] - first, column[ids[a:b]]] = 1
             held = np.maximum(held[:-1], held[1:])
-            maxima = index.maxima[terms]
+            maxima = index.maxima(terms)
             reach = held @ maxima >= threshold - 1e-4
             for p in np.flatnonzero(reach.any(axis=1)):
                 blocks = np.flatnonzero(reach[p])
                 useful = (held[p] > 0) & (maxima[:, blocks] > 0).any(axis=1)
-                yield first + int(p), terms[useful].tolist(), set(blocks.tolist())
+                yield first + int(p), terms[useful].tolist(), set(blocks.tolist()), maxima[useful]
 
-    def leaks(self, text: bytes | None, threshold: float = THRESHOLD) -> list[tuple[int, float, float, float, float]]:
+    def leaks(self, text: bytes | None, threshold: float = 1.0) -> list[tuple[int, float, float, float, float]]:
         """(item_id, score, shingle, question and answer overlap) of each leaked item."""
         words = words_of(text)
         if not words:
@@ -272,16 +314,16 @@ class Benchmark:
             if not len(spots):
                 continue
             ids = terms[spots]
-            for p, terms, allowed in self._passages(index, ids, spots // index.stride, threshold):
-                for k, score in index.retrieve(terms, allowed, threshold):
-                    item = index.items[k]
+            for p, terms, allowed, maxima in self._passages(index, ids, spots // index.stride, threshold):
+                for k, score in index.retrieve(terms, allowed, threshold, maxima):
+                    item, score = index.items[k], score * index.least[k]
                     if held is None:
                         held = shingles(words) if len(words) >= SHINGLE else {b" ".join(words)}
-                    some = index.shingles[k]
                     if len(item.words) < SHINGLE:
                         n = len(item.words)
                         shared = float(any(tuple(words[j : j + n]) == item.words for j in range(len(words) - n + 1)))
                     else:
+                        some = shingles(list(item.words))
                         shared = len(some & held) / len(some)
                     if shared < OVERLAP:
                         continue

@@ -1,6 +1,8 @@
 """Block-max WAND against exhaustive scoring; planted items are found, clean rows stay."""
 
+import pickle
 import random
+from collections import Counter
 
 import numpy as np
 from edges import documents, nothing, words
@@ -16,9 +18,9 @@ def test_wand_retrieves_just_what_exhaustive_scoring_does():
         terms = sorted({index.terms[w] for w in (r.choice("abcdefghijklmnopqrstuvwxyz").encode() for _ in range(r.randint(1, 20))) if w in index.terms})
         total = np.zeros(len(index.items))
         for t in terms:
-            for k, s in index.postings[t]:
+            for k, s in zip(*index.postings[t]):
                 total[k] += s
-        bound = sum(index.maxima[t] for t in terms) if terms else np.zeros(index.blocks)
+        bound = index.maxima(np.array(terms, np.int64)).sum(axis=0)
         for threshold in (0.2, 0.5, 0.8):
             allowed = set(np.flatnonzero(bound >= threshold - 1e-4).tolist())
             got = dict(index.retrieve(terms, allowed, threshold))
@@ -91,6 +93,85 @@ def test_parts_score_by_the_whole_test_set(spark, monkeypatch):
     assert any(r[2] < 0.99 for r in whole)
 
 
+def hard_items() -> list[tuple[int | None, str | None]]:
+    """Templated items that differ in one rare word, long ones, repeated ids and texts, nulls."""
+    template = "% : please name the capital of this country and say how many people live there in all . it is the one and only"
+    items = [(k, template.replace("%", f"rare{k}")) for k in range(150)]
+    items += [(200 + k, " ".join(words(60 + k, n))) for k, n in enumerate((3, 5, 6, 9, 40, MAX_ITEM_WORDS - 1, MAX_ITEM_WORDS + 1, 3 * MAX_ITEM_WORDS))]
+    items += [(200, " ".join(words(99, 30))), (300, items[0][1]), (301, items[0][1]), (None, " ".join(words(98, 25))), (None, None), (302, ""), (303, "?? !!")]
+    return items
+
+
+def hard_documents(items) -> list[tuple[int, str | None]]:
+    r, out = random.Random(11), [(0, None), (1, ""), (2, "please name the capital")]
+    for k, (_, text) in enumerate(items):
+        body = words(4000 + k, r.choice((0, 30, 400)))
+        own = (text or "").split()
+        change = r.randrange(5)
+        if change == 1:  # the rare word goes
+            own = [w if not w.startswith("rare") else "spain" for w in own]
+        elif change == 2 and len(own) > 8:  # a tenth of the words at one end goes
+            own = own[len(own) // 10 :]
+        elif change == 3:  # a few words come in
+            at = len(own) // 2
+            own[at:at] = words(k, len(own) // 10)
+        elif change == 4:  # half of it is no leak
+            own = own[: len(own) // 2]
+        at = r.randint(0, len(body))
+        out.append((10 + k, " ".join(body[:at] + own + body[at:]).upper() if k % 7 == 0 else " ".join(body[:at] + own + body[at:])))
+    return out
+
+
+def brute(docs, items) -> set[tuple]:
+    """Every item against every passage of every document, by the overlaps alone."""
+    from graphloom.llm.decontaminate import OVERLAP, SHINGLE, Item, Stats, _held, length_class, shingles
+
+    whole = [i for k, t in items if t is not None and (i := Item.of(k, t.encode()))]
+    longest = Stats.of(whole).longest
+    out = set()
+    for d, text in docs:
+        w = (text or "").lower().encode().split()
+        held = shingles(w)
+        for i in whole:
+            n = len(i.words)
+            some = shingles(list(i.words))
+            if n < SHINGLE:
+                if not any(tuple(w[j : j + n]) == i.words for j in range(len(w) - n + 1)):
+                    continue
+            elif len(some & held) < OVERLAP * len(some):
+                continue
+            size = longest[length_class(n)]
+            stride = max(32, size + size // 4)
+            for at in range(0, len(w), stride):
+                near = Counter(w[at : at + 2 * stride])
+                if _held(i.question, near) >= OVERLAP and _held(i.answer, near) >= OVERLAP:
+                    out.add((d, i.item_id))
+    return out
+
+
+def test_every_leak_that_the_overlaps_confirm_is_found(spark, monkeypatch):
+    from graphloom.llm import decontaminate
+
+    items = hard_items()
+    docs = hard_documents(items)
+    want = brute(docs, items)
+    assert len(want) > 10_000  # a template without its rare word stands for all of them
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    i = spark.createDataFrame(items, "item_id long, text string")
+    for shard, size in ((1024, 1 << 24), (7, 1 << 24), (50, 3000)):
+        monkeypatch.setattr(decontaminate, "SHARD", shard)
+        monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", size)
+        got = [(r["doc_id"], r["item_id"]) for r in find_leaks(d, i).collect()]
+        assert set(got) == want
+
+
+def test_an_index_takes_a_bounded_multiple_of_its_text():
+    r = random.Random(4)
+    common = words(1, 2000)
+    items = [(k, " ".join(r.choice(common) if r.random() < 0.7 else f"w{r.randrange(50_000)}" for _ in range(30)).encode()) for k in range(4096)]
+    assert len(pickle.dumps(Benchmark.of(items))) < 12 * sum(len(t) for _, t in items)
+
+
 def test_edges(spark):
     items = spark.createDataFrame([(1, "nothing of this is in there at all, is it? no it is not")], "item_id long, text string")
     df = documents(spark)
