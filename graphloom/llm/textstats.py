@@ -73,8 +73,9 @@ def labelled_sample(docs: DataFrame, usable: DataFrame, limit: int) -> DataFrame
     """doc_id, text, label of at most ``limit`` usable rows, picked by hash.
 
     The picked ids are at most ``limit`` rows, so they are broadcast and the
-    texts of all other rows stay where they are.
+    texts of all other rows stay where they are. Of a doc_id with several
+    texts the least one counts.
     """
     picked = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    return rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

@@ -58,6 +58,47 @@ def test_edges(spark, scored):
     assert len(scored(df, none).collect()) == df.count()
 
 
+def test_scores_of_every_row_against_brute_force(larger):
+    """Row by row in plain Python: each pair of features for quality, each feature for toxicity, posteriors by Bayes' rule."""
+    docs, labels = larger
+    docs = docs.where("doc_id < 120")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    for i, t in texts.items():
+        stats, words = quality.structure(t)
+        ids, values = quality.features(stats, quality.hashed_words(words, quality.WORD_DIMS), model.edges)
+        m, raw = model.machine, float(model.machine.bias)
+        raw += sum(float(m.weights[k]) * float(v) for k, v in zip(ids, values))
+        f = m.factors[ids].astype(float) * values[:, None]
+        raw += float(np.triu(f @ f.T, 1).sum())
+        want = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+        assert got[i]["score"] == pytest.approx(want, abs=2e-3)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for i, t in texts.items():
+        ids, values = toxicity.linear_features(t, model.linear.voters)
+        raw = model.linear.bias + sum(float(model.linear.weights[k]) * float(v) for k, v in zip(ids, values))
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(raw, -30, 30))), abs=1e-9)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i]["predicted"] == int(got[i]["score"] >= 0.7)
+        bits = model.linear.voters.votes(toxicity.plain_words(t))[0]
+        odds = model.labels.prior / (1 - model.labels.prior)
+        for clique, table in zip(model.labels.cliques, model.labels.tables):
+            vote = sum((bits >> v & 1) << k for k, v in enumerate(clique))
+            odds *= table[1, vote] / table[0, vote]
+        assert model.labels.posterior(np.array([bits]))[0] == pytest.approx(odds / (1 + odds), abs=1e-9)
+
+
+def test_one_id_with_several_texts_trains_alike(larger):
+    docs, labels = larger
+    docs = docs.where("doc_id < 200")
+    twice = docs.unionByName(docs.where("doc_id < 60").withColumn("text", F.concat(F.lit("zz "), "text")))
+    for scored in (quality_scores, toxicity_scores):
+        a, b = (sorted((r["doc_id"], r["score"]) for r in scored(d, labels).collect()) for d in (twice, twice.repartition(5).orderBy(F.desc("doc_id"))))
+        assert a == b
+
+
 def test_rejected_documents_go(larger):
     docs, labels = larger
     low = {r["doc_id"] for r in quality_scores(docs, labels).where("predicted = 0").collect()}
