@@ -16,12 +16,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import scratch_root
     from .sharding import assign_shards
 
-    import uuid
-
-    return assign_shards(table(spark, sf_dir, "documents"), map_path=f"{scratch_root(spark)}/slot-map-{uuid.uuid4().hex[:12]}")
+    return assign_shards(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Sharding by fixed virtual slots, with DataFrame functions only.
 
 Records hash into a fixed number of slots (thousands). Bytes per slot are
-aggregated, and a versioned slot-to-shard map says where each slot lives. A
+aggregated, and a versioned slot-to-shard map says where each slot lives. Its
+first version deals the slots out evenly. A
 rebalance edits the map: it moves slots, never single records, and yields the
 next version. The map has one entry a slot, so its size is fixed by a
 parameter and it travels inside the plan as a constant.
@@ -19,12 +20,15 @@ those called like its own outputs are dropped.
 from __future__ import annotations
 
 import json
+import uuid
+from bisect import bisect_left
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, scratch_root
 
 SLOTS = 4096
 SHARDS = 40
@@ -42,16 +46,9 @@ class SlotMap:
     size: tuple[int, ...] = field(default=(), repr=False)
 
     @classmethod
-    def balanced(cls, size: list[int], rows: list[int], shards: int) -> SlotMap:
-        """Version 1: slots by falling bytes, each to the shard with least bytes so far."""
-        load, owner = [(0, s) for s in range(shards)], [0] * len(size)
-        import heapq
-
-        for slot in sorted(range(len(size)), key=lambda k: (-size[k], k)):
-            had, shard = heapq.heappop(load)
-            owner[slot] = shard
-            heapq.heappush(load, (had + size[slot], shard))
-        return cls(1, shards, tuple(owner), tuple(rows), tuple(size))
+    def even(cls, slots: int, shards: int) -> SlotMap:
+        """Version 1, before any bytes are known: as many slots in each shard."""
+        return cls(1, shards, tuple(k % shards for k in range(slots)), (0,) * slots, (0,) * slots)
 
     def loads(self) -> list[int]:
         out = [0] * self.shards
@@ -63,7 +60,8 @@ class SlotMap:
         """The next version for new byte counts or a new number of shards.
 
         Moves slots from the fullest to the emptiest shard while that narrows
-        the gap; shards that are no more give up all their slots.
+        the gap, then exchanges one for a smaller one while that does; shards
+        that are no more give up all their slots.
         """
         shards = shards or self.shards
         held: list[list[int]] = [[] for _ in range(shards)]
@@ -78,19 +76,28 @@ class SlotMap:
         mean = sum(load) / shards
         while True:
             low = min(range(shards), key=lambda s: (load[s], s))
+            full = max(range(shards), key=lambda s: (load[s], -s))
+            if load[full] - load[low] <= tolerance * mean:
+                break
             # The fullest shard with a slot to give; one huge slot alone cannot move.
+            back = None
             for top in sorted(range(shards), key=lambda s: (-load[s], s)):
                 gap = load[top] - load[low]
-                fits = [k for k in held[top] if 0 < size[k] < gap]
-                if fits or gap <= tolerance * mean:
+                if fits := [k for k in held[top] if 0 < size[k] < gap]:
+                    slot = min(fits, key=lambda k: (abs(size[k] - gap / 2), k))
                     break
-            if gap <= tolerance * mean or not fits:
-                break
-            slot = min(fits, key=lambda k: (abs(size[k] - gap / 2), k))
+            else:
+                top, pair = full, _exchange(held[full], held[low], size, load[full] - load[low])
+                if pair is None:
+                    break
+                slot, back = pair
+                held[low].remove(back)
+                held[top].append(back)
             held[top].remove(slot)
             held[low].append(slot)
-            load[top] -= size[slot]
-            load[low] += size[slot]
+            moved = size[slot] - (0 if back is None else size[back])
+            load[top] -= moved
+            load[low] += moved
         owner = [0] * len(self.owner)
         for shard, slots in enumerate(held):
             for slot in slots:
@@ -118,6 +125,20 @@ class SlotMap:
         return cls(got["version"], got["shards"], *(tuple(x) for x in json.loads(got["slots"])))
 
 
+def _exchange(high: list[int], low: list[int], size: list[int], gap: int) -> tuple[int, int] | None:
+    """A slot of each side whose exchange narrows the gap most, None if none does."""
+    ordered = sorted(low, key=lambda k: (size[k], k))
+    sizes, best = [size[k] for k in ordered], None
+    for k in sorted(high):
+        at = bisect_left(sizes, size[k] - gap / 2)
+        for j in (at - 1, at):
+            if 0 <= j < len(sizes) and 0 < size[k] - sizes[j] < gap:
+                off = abs(size[k] - sizes[j] - gap / 2)
+                if best is None or off < best[0]:
+                    best = (off, k, ordered[j])
+    return best and best[1:]
+
+
 def _constant(values) -> F.Column:
     return F.from_json(F.lit(json.dumps(list(values))), "array<bigint>")
 
@@ -155,10 +176,19 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version.
 
     Texts are read once: the narrow rows are kept as a scratch table for the
-    count and for the placement. With ``map_path`` the map is stored there.
+    count and for the placement. The newest map at ``map_path`` is rebalanced by
+    the bytes counted and stored there as the next version; where there is none
+    yet, an even one is stored first. Without a path the scratch folder holds it.
     """
+    spark = docs.sparkSession
     rows = materialise(slotted(docs, slots), "slotted")
-    slot_map = SlotMap.balanced(*slot_loads(rows, slots), shards)
-    if map_path:
-        slot_map.save(docs.sparkSession, map_path)
+    map_path = map_path or f"{scratch_root(spark)}/slot-map-{uuid.uuid4().hex[:12]}"
+    try:
+        slot_map = SlotMap.load(spark, map_path)
+    except AnalysisException:  # no map yet
+        SlotMap.even(slots, shards).save(spark, map_path)
+        slot_map = SlotMap.load(spark, map_path)
+    size, n = slot_loads(rows, slots)
+    slot_map = slot_map.rebalanced(size, n, shards, tolerance=0)
+    slot_map.save(spark, map_path)
     return place(rows, slot_map).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version"))
