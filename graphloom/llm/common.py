@@ -10,9 +10,11 @@ from __future__ import annotations
 import ctypes
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -57,6 +59,8 @@ def scratch_root(spark: SparkSession) -> str:
     """This application's folder for scratch tables in the shared checkpoint folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         app = spark.sparkContext.applicationId
         at = _own_folder.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="scratch-")
         _own_folder[app] = at
@@ -64,6 +68,27 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_cleaning = threading.Lock()
+_writers: dict[str, tuple[int, str]] = {}
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when a write is done; the setting comes back after the last of several writers."""
+    app = spark.sparkContext.applicationId
+    with _cleaning:
+        n, before = _writers.get(app, (0, spark.conf.get(_CLEAN, "false")))
+        _writers[app] = (n + 1, before)
+        spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        with _cleaning:
+            n, before = _writers.pop(app)
+            if n > 1:
+                _writers[app] = (n - 1, before)
+            else:
+                spark.conf.set(_CLEAN, before)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -75,13 +100,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -91,10 +114,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def discard(table: DataFrame) -> None:
     """Delete a scratch table that no later plan reads."""
-    for f in table.inputFiles()[:1]:
-        path = f.rsplit("/", 1)[0]
-        if path.startswith(scratch_root(table.sparkSession)) or "/scratch-" in path:
-            _delete(table.sparkSession, path)
+    if path := getattr(table, "_scratch", None):
+        _delete(table.sparkSession, path)
 
 
 def sweep(spark: SparkSession) -> None:
@@ -201,7 +222,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["u", "v"])
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: DataFrame ``node, component``.
 
     ``component`` is the smallest node reached. Each task first contracts the
@@ -215,10 +236,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     e = materialise(e, "edges")
     tasks = -(-e.count() // LOCAL_EDGES)
     if tasks:
+        whole = e
         e = materialise(e.repartition(tasks).mapInArrow(_forest, "u long, v long"), "forest")
+        discard(whole)
     if tasks <= 1:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    for _ in range(max_rounds):
+    while True:
         # Stars already: each u has one v, and no v is a u.
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("n")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("n")))
         if ends.groupBy("x").agg(F.sum("n").alias("n"), F.min("n").alias("low")).where("n > 1 or (n = 1 and low = 0)").isEmpty():
@@ -226,8 +249,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialise(large, "large")
+        large, old = materialise(large, "large"), e
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        discard(old)
+        discard(large)

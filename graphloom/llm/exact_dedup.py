@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, filter_bits, materialise, maybe_in, rows_without, ship_package, unused
+from .common import SPACES, discard, filter_bits, materialise, maybe_in, rows_without, ship_package, unused
 
 #: Fingerprints that one segment's merge should hold.
 PER_SEGMENT = 1 << 20
@@ -117,11 +117,18 @@ def _filters(segment_bits: int):
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        new: list[np.ndarray] = []
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            every = np.concatenate([values, *new])
+            out, where = np.unique(every, return_inverse=True)
+            return out, np.bincount(where, np.concatenate([counts, np.ones(len(every) - len(values), np.int64)]), len(out)).astype(np.int64)
+
         for batch in batches:
-            new = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            both = np.concatenate([values, new])
-            values, where = np.unique(both, return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, np.ones(len(new), np.int64)]), len(values)).astype(np.int64)
+            new.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            if sum(map(len, new)) > max(1 << 18, len(values)):  # as much again: each value is sorted a few times only
+                (values, counts), new = fold(), []
+        values, counts = fold()
         width = 64 - segment_bits
         segment = (values >> np.uint64(width)).astype(np.int64) if segment_bits else np.zeros(len(values), np.int64)
         low = values & np.uint64((1 << width) - 1)
@@ -168,7 +175,9 @@ def exact_groups(docs: DataFrame, fp_bits: int = 64) -> DataFrame:
     routed = maybe_in(rows.withColumn("fp", fingerprint(F.col("norm"), fp_bits)), "fp", repeated.select("fp"), bits).where("_maybe")
     best = F.min(F.struct((-F.col("n_cp")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d")))
     groups = routed.groupBy("fp", "norm").agg(F.count("*").alias("group_size"), best.alias("best")).where("group_size > 1")
-    groups = materialise(groups.select(F.col("fp").alias("g_fp"), F.unhex(F.sha2("norm", 256)).alias("g_sha"), "group_size", F.col("best.d").alias("keep_id")), "groups")
+    found = groups.select(F.col("fp").alias("g_fp"), F.unhex(F.sha2("norm", 256)).alias("g_sha"), "group_size", F.col("best.d").alias("keep_id"))
+    groups = materialise(found, "groups")
+    discard(repeated)
     copy = Window.partitionBy("doc_id", "fp", "sha").orderBy(F.desc("n_cp"))
     told = narrow.withColumn("copy", F.row_number().over(copy)).join(groups, (F.col("fp") == F.col("g_fp")) & (F.col("sha") == F.col("g_sha")), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))

@@ -319,11 +319,14 @@ def near_groups(docs: DataFrame, width: int = 2) -> DataFrame:
         xs = blocks.select("key", F.col("block").alias("i"), F.col("members").alias("xs"))
         met = xs.join(blocks.select("key", F.col("block").alias("j"), F.col("members").alias("ys")), "key").where("i <= j")
         found = materialise(met.select("key", "i", "xs", "j", "ys").mapInArrow(tidy(_block_pairs), "a long, b long"), "met")
+        discard(blocks)
         more = search.confirmed(found)
         if not more.isEmpty():
             labels = components(_stars(labels).unionByName(more))
         break
 
+    for table in (lists, members, labelled, main):
+        discard(table)
     named = nodes.join(labels, "node", "left").select("set_id", "n_shingles", "low", F.coalesce("component", "node").alias("component_id"))
     told = sketched.withColumn("low", low).join(named, ["set_id", "n_shingles", "low"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
