@@ -3,6 +3,11 @@
 A class table is one scan: a row is a subject, a column a single-valued
 property. Quads hold what was loaded or inserted: ``g``, ``s``, ``p`` strings
 and ``o`` a term struct. A dataset is an immutable snapshot.
+
+A subject's quads lie whole in one place. An update takes the subjects that it
+touches out of the tables and the stored quads (an anti join on their names)
+and keeps their new quads as a delta, so what it writes grows with the change.
+Deltas are merged with each other now and then, never with what they change.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ontology import Ontology
+from .runtime import materialise_at, table_path
 from .terms import IRI, TERM_SQL, T, to_lex, to_term
 from .vocab import DEFAULT_GRAPH, RDF
 
@@ -41,6 +47,20 @@ class ClassTable:
             return F.concat(F.lit("urn:bnode:"), F.sha2(F.to_json(F.struct(*self.df.columns)), 256)), IRI
         return F.expr(self.key), T("key", self.prefix, self.df.select(F.expr(self.key)).dtypes[0][1])
 
+    @property
+    def start(self) -> str:
+        """How all its subjects' names begin."""
+        return "urn:bnode:" if self.key is None else self.prefix
+
+    def holds(self, subjects: DataFrame, how: str) -> ClassTable:
+        """The table with (``left_semi``) or without (``left_anti``) some subjects ``s``."""
+        if self.key is None:
+            return replace(self, df=self.df.join(subjects.select(F.col("s").alias("_subject")), self.subject()[0] == F.col("_subject"), how))
+        c, t = self.subject()
+        raw = F.substring(F.col("s"), len(self.prefix) + 1, 1 << 30)
+        keys = subjects.where(F.startswith("s", F.lit(self.prefix)) & (raw.try_cast(t.raw).cast("string") == raw)).select(raw.try_cast(t.raw).alias("_subject"))
+        return replace(self, df=self.df.join(keys, c == F.col("_subject"), how))
+
     def graph_column(self) -> Column:
         return F.lit(DEFAULT_GRAPH) if self.graph is None else F.expr(self.graph)
 
@@ -57,6 +77,22 @@ class ClassTable:
         return rows.select("g", "s", F.col("x.p").alias("p"), F.col("x.o").alias("o")).where(F.col("o.lex").isNotNull())
 
 
+@dataclass(frozen=True)
+class Delta:
+    """Subjects that an update touched, and all their quads after it."""
+
+    touched: DataFrame
+    quads: DataFrame
+    #: Where both are stored.
+    paths: tuple[str, str]
+    #: Beginnings of the touched names, as tables' subjects have them.
+    starts: frozenset[str] = frozenset()
+
+
+#: Deltas that a snapshot keeps before they are merged into one.
+MOST_DELTAS = 8
+
+
 @dataclass(frozen=True)
 class Dataset:
     spark: SparkSession
@@ -65,6 +101,13 @@ class Dataset:
     stored: DataFrame | None = None
     graphs: frozenset[str] = frozenset()
     options: dict = field(default_factory=dict)
+    #: What lies under the deltas: the quads first stored, where they are, and the whole tables.
+    base: DataFrame | None = None
+    base_path: str | None = None
+    origin: tuple[ClassTable, ...] = ()
+    deltas: tuple[Delta, ...] = ()
+    #: Folder of a durable store; without one, tables go to the scratch folder.
+    root: str | None = None
     #: Stored full-text postings; without them a match scans the texts.
     index: object | None = None
 
@@ -77,6 +120,14 @@ class Dataset:
             return self.spark.createDataFrame([], QUAD_SQL)
         return reduce(DataFrame.unionByName, parts)
 
+    def schema(self) -> DataFrame:
+        """The ontology's own triples in the default graph, a literal table in the plan."""
+        text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        rows = ", ".join(f"({text(s)}, {text(p)}, {text(k)}, {text(o)})" for s, p, k, o in self.ontology.triples())
+        df = self.spark.sql(f"select * from values {rows} as t(s, p, k, o)")
+        o = F.struct(F.col("k").alias("kind"), F.col("o").alias("lex"), F.lit(None).cast("string").alias("lang"))
+        return df.select(F.lit(DEFAULT_GRAPH).alias("g"), "s", "p", F.when(F.col("k").isNotNull(), o).alias("o"))
+
     def _has(self, t: ClassTable, only: set[str]) -> bool:
         return RDF + "type" in only or any(q in only for p in t.columns for q in self.ontology.superproperties(p))
 
@@ -91,9 +142,70 @@ class Dataset:
             return self.spark.createDataFrame([], "g string")
         return reduce(DataFrame.union, parts).where(F.col("g") != DEFAULT_GRAPH).distinct()
 
-    def with_quads(self, stored: DataFrame, **more) -> Dataset:
-        return replace(self, stored=stored, **more)
+    def with_quads(self, stored: DataFrame, path: str | None = None, **more) -> Dataset:
+        """Other quads in place of the stored ones."""
+        return replace(self, stored=stored, base=stored, base_path=path, deltas=(), origin=self.tables, index=None, **more)
+
+    def write(self, df: DataFrame, label: str) -> tuple[DataFrame, str]:
+        """``df`` as a table of this dataset's folder."""
+        path = table_path(self.spark, label, self.root)
+        return materialise_at(df, path), path
+
+    def about(self, subjects: DataFrame, starts: frozenset[str] | None = None) -> DataFrame:
+        """All quads of some subjects."""
+        starts = self.starts(subjects)[0] if starts is None else starts
+        parts = [t.holds(subjects, "left_semi").quads(self.ontology) for t in self.tables if t.start in starts]
+        if self.stored is not None:
+            parts.append(self.stored.join(subjects, "s", "left_semi").select("g", "s", "p", "o"))
+        if not parts:
+            return self.spark.createDataFrame([], QUAD_SQL)
+        return reduce(DataFrame.unionByName, parts)
+
+    def starts(self, subjects: DataFrame) -> tuple[frozenset[str], bool]:
+        """Which tables some subjects may lie in, and whether there are any; one row comes back."""
+        starts = sorted({t.start for t in self.tables})
+        found = subjects.agg(*(F.max(F.startswith("s", F.lit(p))).alias(f"p{k}") for k, p in enumerate(starts)), F.count("*").alias("n")).first()
+        return frozenset(p for k, p in enumerate(starts) if found[k]), found["n"] > 0
+
+    def changed(self, touched: DataFrame, path: str, starts: frozenset[str], quads: DataFrame, **more) -> Dataset:
+        """Touched subjects (a stored table ``s``) have just these quads from now on."""
+        if self.stored is None and not self.tables:
+            return self.with_quads(*self.write(quads, "quads"), **more)
+        quads, at = self.write(quads, "quads")
+        deltas = (*self.deltas, Delta(touched, quads, (path, at), starts))
+        if len(deltas) > MOST_DELTAS:
+            (t, p), (q, a) = self.write(reduce(DataFrame.union, (d.touched for d in deltas)).distinct(), "touched"), self.write(_settled(None, deltas), "quads")
+            deltas = (Delta(t, q, (p, a), frozenset().union(*(d.starts for d in deltas))),)
+        return self.assembled(deltas, index=self.index.changed(touched) if self.index is not None else None, **more)
+
+    def assembled(self, deltas: tuple[Delta, ...], **more) -> Dataset:
+        """The snapshot of the base under some deltas."""
+        origin = self.origin or self.tables
+        if not deltas:
+            return replace(self, stored=self.base, tables=origin, origin=origin, deltas=(), **more)
+        touched = reduce(DataFrame.union, (d.touched for d in deltas))
+        starts = frozenset().union(*(d.starts for d in deltas))
+        tables = tuple(t.holds(touched, "left_anti") if t.start in starts else t for t in origin)
+        return replace(self, stored=_settled(self.base, deltas), tables=tables, origin=origin, deltas=deltas, **more)
+
+    def kept(self, condition, **more) -> Dataset:
+        """Only the quads whose graph meets a condition; nothing is written."""
+        tables = tuple(replace(t, df=t.df.where(condition(t.graph_column()))) for t in self.tables)
+        out = replace(self, tables=tables, **more)
+        return out.with_quads(self.stored.where(condition(F.col("g"))) if self.stored is not None else None)
 
     def flattened(self) -> Dataset:
         """The same data as quads alone, as updates need it."""
-        return replace(self, tables=(), stored=self.quads()) if self.tables else self
+        return replace(self, tables=(), origin=()).with_quads(self.quads()) if self.tables else self
+
+
+def _settled(base: DataFrame | None, deltas: tuple[Delta, ...]) -> DataFrame:
+    """Quads after all deltas: each one's stand unless a later one touches their subject."""
+    parts = [x for x in (base, *(d.quads for d in deltas)) if x is not None]
+    later = [d.touched for d in deltas]
+    out = []
+    for k, part in enumerate(parts):
+        after = later[len(later) - (len(parts) - 1 - k) :] if len(parts) - 1 - k else []
+        part = part.join(reduce(DataFrame.union, after), "s", "left_anti") if after else part
+        out.append(part.select("g", "s", "p", "o"))
+    return reduce(DataFrame.union, out)

@@ -39,3 +39,19 @@ class Unsupported(GraphError):
 
 class QueryFailed(GraphError):
     pass
+
+
+class OpenFailed(GraphError):
+    """A store, or the folder for one, cannot be opened."""
+
+
+class OntologyMissing(OpenFailed):
+    """A new store needs an ontology."""
+
+
+class NoSpace(GraphError):
+    """A folder is full."""
+
+
+class Conflict(GraphError):
+    """Another writer has published the same version of a store."""

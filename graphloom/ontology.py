@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from .errors import OntologyError, UnknownClass, UnknownProperty
 from .terms import IRI, T, range_type
@@ -40,11 +41,24 @@ BASE_PROPERTIES = (
     PropertyDef(RDFS + "comment", RDFS + "Resource", XSD + "string"),
     PropertyDef(RDF + "first", RDF + "List", RDFS + "Resource", single=True),
     PropertyDef(RDF + "rest", RDF + "List", RDF + "List", single=True),
+    PropertyDef(RDFS + "subClassOf", RDFS + "Class", RDFS + "Class"),
+    PropertyDef(RDFS + "subPropertyOf", RDF + "Property", RDF + "Property"),
+    PropertyDef(RDFS + "domain", RDF + "Property", RDFS + "Class", single=True),
+    PropertyDef(RDFS + "range", RDF + "Property", RDFS + "Class", single=True),
+    PropertyDef(ONT + "maxCardinality", RDF + "Property", XSD + "integer", single=True),
+    PropertyDef(ONT + "fulltextIndexed", RDF + "Property", XSD + "boolean", single=True),
+    PropertyDef(ONT + "weight", RDF + "Property", XSD + "double", single=True),
+    PropertyDef(ONT + "notify", RDFS + "Class", XSD + "boolean", single=True),
     PropertyDef(ONT + "added", RDFS + "Resource", XSD + "dateTime", single=True),
     PropertyDef(ONT + "modified", RDFS + "Resource", XSD + "integer", single=True),
 )
 
 
+#: Classes of the schema's own resources, and the properties that only they have.
+SCHEMA_CLASSES = (RDFS + "Class", RDF + "Property")
+SCHEMA_PROPERTIES = (RDFS + "subClassOf", RDFS + "subPropertyOf", RDFS + "domain", RDFS + "range", ONT + "maxCardinality", ONT + "fulltextIndexed", ONT + "weight", ONT + "notify")
+
+
 @dataclass
 class Ontology:
     classes: dict[str, ClassDef] = field(default_factory=dict)
@@ -57,6 +71,32 @@ class Ontology:
         o.validate()
         return o
 
+    def triples(self) -> list[tuple[str, str, str, str]]:
+        """The schema as data: (subject, property, kind and text of the object).
+
+        Classes and properties are told as such, not among the resources that the data describes."""
+        out = []
+        for c in self.classes.values():
+            out.append((c.iri, RDF + "type", "iri", RDFS + "Class"))
+            out += [(c.iri, RDFS + "subClassOf", "iri", p) for p in c.parents]
+            out += [(c.iri, ONT + "notify", "boolean", "true")] if c.notify else []
+        for p in self.properties.values():
+            out.append((p.iri, RDF + "type", "iri", RDF + "Property"))
+            out += [(p.iri, RDFS + "domain", "iri", p.domain), (p.iri, RDFS + "range", "iri", p.range)]
+            out += [(p.iri, RDFS + "subPropertyOf", "iri", q) for q in p.parents]
+            out += [(p.iri, ONT + "maxCardinality", "integer", "1")] if p.single else []
+            out += [(p.iri, ONT + "fulltextIndexed", "boolean", "true"), (p.iri, ONT + "weight", "double", str(float(p.weight)))] if p.fulltext else []
+        return out
+
+    def to_json(self) -> str:
+        return json.dumps({"classes": [asdict(c) for c in self.classes.values()], "properties": [asdict(p) for p in self.properties.values()], "prefixes": self.prefixes})
+
+    @classmethod
+    def from_json(cls, text: str) -> Ontology:
+        d = json.loads(text)
+        listed = lambda x: {k: tuple(v) if isinstance(v, list) else v for k, v in x.items()}
+        return cls.of((ClassDef(**listed(c)) for c in d["classes"]), (PropertyDef(**listed(p)) for p in d["properties"]), d["prefixes"])
+
     def class_def(self, iri: str) -> ClassDef:
         if iri not in self.classes:
             raise UnknownClass(iri)

@@ -211,7 +211,7 @@ def _snippet(words, asked, args: list) -> Column:
     before, after = (args + [None, None])[:2]
     ellipsis = args[2] if len(args) > 2 and args[2] is not None else "…"
     n = int(args[3]) if len(args) > 3 and args[3] else 5
-    first = F.filter("_t", lambda t: F.exists(t["w"], lambda w: _any(w, asked)))[0]["text"]
+    first = F.get(F.filter("_t", lambda t: F.exists(t["w"], lambda w: _any(w, asked))), F.lit(0))["text"]
     raw = F.split(first, r"\s+")
     hit = F.transform(raw, lambda w: F.exists(words(w), lambda x: _any(x, asked)))
     start = F.greatest(F.array_position(hit, True).cast("int") - F.lit(n // 2), F.lit(1))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..dataset import ClassTable, Dataset
 from ..errors import ParseError, QueryFailed, Unsupported
 from ..functions import builtins
+from ..ontology import SCHEMA_CLASSES, SCHEMA_PROPERTIES
 from ..operators import fts, paths
 from ..parser.ast import Query
 from ..terms import BOOLEAN, DOUBLE, INTEGER, IRI, NULL, STRING, TERM, T, common, convert, equal, less, literal, merged, null, order_key, to_lex, to_term, truth
@@ -566,6 +567,8 @@ class Compiler:
             props = [p for p, o in po if not (p == RDF + "type" and o[0] == "iri")]
             if not all(p in self.onto.properties for p in props) or RDF + "type" in props:
                 continue
+            if self.in_schema(s, types, props):
+                continue
             found = self.tables_with(types, props)
             for p, o in po:
                 if o[0] == "var" and found and p in props:
@@ -584,7 +587,7 @@ class Compiler:
         for p, _ in props:
             self.onto.property_def(p)
         split = any(p == RDF + "type" for p, _ in props) or any(len([q for q in t.columns if q in self.onto.subproperties(p)]) > 1 for t in self.data.tables for p, _ in props)
-        if self.data.stored is None and not split:
+        if not split:
             found = self.tables_with(types, list(dict.fromkeys(p for p, _ in props)))
             if s[0] == "var" and s[1] in self.hints:
                 found = [(t, cols) for t, cols in found if t.key is None or t.prefix in self.hints[s[1]]]
@@ -593,12 +596,37 @@ class Compiler:
             self.star_uses = len(po)
             scans = [self.scan(t, cols, s, props, scope) for t, cols in found]
             scans = [x for x in scans if x is not None]
+            if self.data.stored is not None:
+                scans.append(reduce(join, (self.quad_triple(self.data.stored, s, p, o, scope) for p, o in po)))
+            if self.in_schema(s, types, [p for p, _ in props]):
+                scans.append(reduce(join, (self.quad_triple(self.data.schema(), s, p, o, scope) for p, o in po)))
             if scans:
                 return reduce(union, scans)
             return self.empty([x[1] for x in (s, *(o for _, o in props)) if x[0] == "var"])
         parts = [self.property_triple(s, p, o, scope) for p, o in po]
         return reduce(join, parts)
 
+    def in_schema(self, s, types: list[str], props: list[str]) -> bool:
+        """Whether classes and properties themselves may be such a subject."""
+        if s[0] == "var" and s[1] in self.hints or not all(c in SCHEMA_CLASSES for c in types):
+            return False
+        return all(p in SCHEMA_PROPERTIES or p == RDF + "type" for p in props) and (bool(props) or bool(types))
+
+    def quad_pairs(self, quads: DataFrame, p: str, scope: Scope) -> tuple[DataFrame, T, T]:
+        """(s, o, g) of one property among quads."""
+        to = IRI if p == RDF + "type" else self.onto.property_def(p).type
+        cond = scope.condition(F.col("g"))
+        df = quads.where(F.col("p") == p)
+        df = df.where(cond) if cond is not None else df
+        df = df.select("s", convert(F.col("o"), TERM, to).alias("o"), "g")
+        if scope.several and quads is self.data.stored:
+            df = df.withColumn("_k", merged(F.col("o"), to)).dropDuplicates(["s", "_k"]).drop("_k")
+        return df, IRI, to
+
+    def quad_triple(self, quads: DataFrame, s, p: str, o, scope: Scope) -> Sol:
+        df, ts, to = self.quad_pairs(quads, p, scope)
+        return self.bound_pairs(df, ts, to, s, o, scope)
+
     def empty(self, names: list[str]) -> Sol:
         out = {v: (fresh(v), IRI) for v in dict.fromkeys(names)}
         df = self.spark.range(1).where(F.lit(False)).select(*(null(IRI).alias(c) for c, _ in out.values()) or [F.lit(1).alias("unit")])
@@ -677,14 +705,9 @@ class Compiler:
                     e, to = t.columns[q]
                     parts.append((df.select(c.alias("s"), F.expr(e).alias("o"), t.graph_column().alias("g")).where("o is not null"), ts, to))
         if self.data.stored is not None:
-            to = IRI if p == RDF + "type" else self.onto.property_def(p).type
-            cond = scope.condition(F.col("g"))
-            df = self.data.stored.where(F.col("p") == p)
-            df = df.where(cond) if cond is not None else df
-            df = df.select("s", convert(F.col("o"), TERM, to).alias("o"), "g")
-            if scope.several:
-                df = df.withColumn("_k", merged(F.col("o"), to)).dropDuplicates(["s", "_k"]).drop("_k")
-            parts.append((df, IRI, to))
+            parts.append(self.quad_pairs(self.data.stored, p, scope))
+        if prefix is None and (p == RDF + "type" or p in SCHEMA_PROPERTIES):
+            parts.append(self.quad_pairs(self.data.schema(), p, scope))
         if not parts:
             return self.spark.createDataFrame([], "s string, o string, g string"), IRI, IRI
         ts, to = reduce(common, (x[1] for x in parts)), reduce(common, (x[2] for x in parts))
@@ -692,14 +715,17 @@ class Compiler:
         return reduce(DataFrame.union, dfs), ts, to
 
     def property_triple(self, s, p: str, o, scope: Scope) -> Sol:
-        df, ts, to = self.property_pairs(p, scope)
+        return self.bound_pairs(*self.property_pairs(p, scope), s, o, scope)
+
+    def bound_pairs(self, df: DataFrame, ts: T, to: T, s, o, scope: Scope) -> Sol:
         slots = [(s, F.col("s"), ts), (o, F.col("o"), to)]
         if scope.graph is not None and scope.graph[0] == "var":
             slots.append((scope.graph, F.col("g"), IRI))
         return self.bind_columns(df, slots)
 
-    def quads(self, scope: Scope, only: set[str] | None = None) -> DataFrame:
-        df = self.data.quads(only)
+    def quads(self, scope: Scope) -> DataFrame:
+        """Every quad in view, the schema's too."""
+        df = self.data.quads().unionByName(self.data.schema())
         cond = scope.condition(F.col("g"))
         return df if cond is None else df.where(cond)
 

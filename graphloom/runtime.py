@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import OpenFailed
+
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
@@ -31,18 +33,29 @@ def ship(spark: SparkSession) -> None:
 def scratch_path(spark: SparkSession, label: str) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise OpenFailed("spark.checkpoint.dir names no folder that all executors share")
         app = spark.sparkContext.applicationId
         at = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="scratch-")
     return f"{at.rstrip('/')}/graph-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage."""
-    path = scratch_path(df.sparkSession, label)
+def table_path(spark: SparkSession, label: str, root: str | None = None) -> str:
+    """A path of its own for a table: in a store's folder, or in the scratch folder."""
+    return f"{root}/tables/{label}-{uuid.uuid4().hex[:12]}" if root else scratch_path(spark, label)
+
+
+def materialise_at(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet and read again: cuts the lineage."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared scratch folder."""
+    return materialise_at(df, scratch_path(df.sparkSession, label))
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes this application's scratch tables, once no snapshot or result reads them."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x").rsplit("/", 1)[0])

@@ -69,6 +69,30 @@ class GraphSession:
         self.services, self.options = services or {}, options
         self.namespaces = Namespaces(self.data.ontology.prefixes)
         self.listeners: list = []
+        self.store = None
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, ontology: Ontology | None = None, services: dict | None = None, options: Options = Options(), version: int | None = None) -> GraphSession:
+        """A session over a durable store: what it publishes is there when the path is opened again.
+
+        A new store takes ``ontology``; an old one moves to it if it differs."""
+        from .store import Store
+
+        store = Store(spark, path)
+        session = cls(spark, store.open(ontology, version), services, options)
+        session.store = store
+        if not store.versions():
+            session.publish(session.data, session.data)
+        elif ontology is not None and session.data.ontology.to_json() != ontology.to_json():
+            session.evolve(ontology)
+        return session
+
+    def index_texts(self) -> None:
+        """Stores full-text postings; matches read them from now on, and updates keep them right."""
+        from .operators.fts import TextIndex
+        from .plans.lower import Scope
+
+        self.data = replace(self.data, index=TextIndex.build(self.compiler(), Scope(), lambda df, label: self.data.write(df, label)[0]))
 
     def compiler(self, params: dict | None = None) -> Compiler:
         return Compiler(self.data, params, self.services, self.options.anonymous_bnodes)
@@ -141,6 +165,8 @@ class GraphSession:
         self.publish(before, inserted(self.data, quads, implicit=True))
 
     def publish(self, before: Dataset, after: Dataset) -> None:
+        if self.store is not None:
+            after = self.store.commit(after)
         self.data = after
         for listener in self.listeners:
             listener(before, after)

@@ -102,7 +102,7 @@ class TurtleParser:
             if self.base and not re.match(r"[A-Za-z][A-Za-z0-9+.\-]*:", iri):
                 from urllib.parse import urljoin
 
-                return urljoin(self.base, iri) if iri else self.base
+                return urljoin(self.base, iri) + "#" * (iri.endswith("#") and "#" not in urljoin(self.base, iri)) if iri else self.base
             return iri
         if t.kind == "pname":
             prefix, _, local = t.text.partition(":")
@@ -280,7 +280,7 @@ def parse_jsonld(text: str, salt: str = "") -> list[Quad]:
     return out
 
 
-_FORMATS = {"ttl": "turtle", "turtle": "turtle", "nt": "turtle", "trig": "trig", "nq": "trig", "jsonld": "json-ld", "json": "json-ld", "ontology": "turtle", "rq": "turtle"}
+_FORMATS = {"ttl": "turtle", "turtle": "turtle", "nt": "turtle", "trig": "trig", "nq": "trig", "jsonld": "json-ld", "json": "json-ld", "ontology": "turtle", "rq": "turtle", "txt": "turtle"}
 
 
 def format_of(path: str) -> str:
@@ -318,6 +318,13 @@ def read_quads(spark: SparkSession, path: str, graph: str | None = None) -> Data
     return files.mapInPandas(run, QUAD_SQL)
 
 
+def read_ontology(spark: SparkSession, path: str):
+    """The ontology that some documents declare; its size is that of a schema."""
+    from ..ontology import Ontology
+
+    return Ontology.from_quads([(r["s"], r["p"], tuple(r["o"]), r["g"]) for r in read_quads(spark, path).collect()])
+
+
 def hash_text(text: str) -> int:
     import hashlib
 

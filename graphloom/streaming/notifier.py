@@ -7,6 +7,7 @@ For an append-only change log the same events come as a stream.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,19 +16,24 @@ from ..dataset import Dataset
 from ..vocab import RDF
 
 
-def _digests(data: Dataset) -> DataFrame:
+def _digests(data: Dataset, touched: DataFrame | None) -> DataFrame:
     """(g, s, digest) of the resources of classes that notify; order-free digest."""
     watched = [c.iri for c in data.ontology.classes.values() if c.notify]
     below = sorted(set().union(*(data.ontology.subclasses(c) for c in watched))) if watched else []
-    quads = data.quads()
+    quads = data.quads() if touched is None else data.about(touched)
     subjects = quads.where((F.col("p") == RDF + "type") & F.col("o.lex").isin(*below)).select("g", "s").distinct()
     each = F.xxhash64("p", "o.kind", "o.lex", "o.lang")
     return quads.join(subjects, ["g", "s"], "left_semi").groupBy("g", "s").agg(F.count("*").alias("n"), F.bit_xor(each).alias("digest"))
 
 
 def changes(before: Dataset, after: Dataset) -> DataFrame:
-    """(event, graph, resource) between two snapshots."""
-    a, b = _digests(before), _digests(after)
+    """(event, graph, resource) between two snapshots; one that follows the other by
+    deltas is compared on their subjects alone."""
+    had, have = [d.paths for d in before.deltas], [d.paths for d in after.deltas]
+    touched = None
+    if before.base is after.base and len(have) > len(had) and have[: len(had)] == had:
+        touched = reduce(DataFrame.union, (d.touched for d in after.deltas[len(had) :])).distinct()
+    a, b = _digests(before, touched), _digests(after, touched)
     both = a.alias("a").join(b.alias("b"), ["g", "s"], "full_outer")
     event = F.when(F.col("a.n").isNull(), "CREATE").when(F.col("b.n").isNull(), "DELETE").when((F.col("a.n") != F.col("b.n")) | (F.col("a.digest") != F.col("b.digest")), "UPDATE")
     return both.select(event.alias("event"), F.col("g").alias("graph"), F.col("s").alias("resource")).where("event is not null")

@@ -1,9 +1,10 @@
 """Updates as new snapshots: both deltas come from one WHERE result.
 
-A snapshot's quads are ``stored - deleted + inserted``; deletes are anti joins
-on the quad, inserts a distinct union. Types and super-properties propagate at
-write time within the graph. Constraints are aggregates over the new snapshot,
-checked before it is published.
+The subjects that a change names are read with all their quads; these minus
+what is deleted plus what is inserted are what the new snapshot holds of them,
+everything else stays where it is. Types and super-properties propagate at
+write time within the graph. Constraints are checked on the touched subjects'
+quads before they are published; only a unique value is looked for elsewhere.
 """
 
 from __future__ import annotations
@@ -66,38 +67,38 @@ def _graphs(data: Dataset) -> set[str]:
 
 
 def _clear(data: Dataset, u: Update) -> Dataset:
-    flat = data.flattened()
-    stored = flat.stored if flat.stored is not None else data.spark.createDataFrame([], QUAD_SQL)
     if u.target in ("ALL", "NAMED", "DEFAULT"):
-        keep = {"ALL": F.lit(False), "NAMED": F.col("g") == DEFAULT_GRAPH, "DEFAULT": F.col("g") != DEFAULT_GRAPH}[u.target]
-        graphs = data.graphs if u.target == "DEFAULT" or u.kind == "clear" else frozenset()
+        keep = {"ALL": lambda g: F.lit(False), "NAMED": lambda g: g == DEFAULT_GRAPH, "DEFAULT": lambda g: g != DEFAULT_GRAPH}[u.target]
+        graphs = data.graphs if u.target == "DEFAULT" else frozenset(_graphs(data)) if u.kind == "clear" else frozenset()
     else:
         _allowed(u, u.target)
         if u.target not in _graphs(data):
             raise UnknownGraph(u.target)
-        keep = F.col("g") != u.target
+        keep = lambda g: g != u.target
         graphs = data.graphs - {u.target} if u.kind == "drop" else data.graphs | {u.target}
-    return flat.with_quads(materialise(stored.where(keep), "quads"), graphs=graphs)
+    return data.kept(keep, graphs=graphs)
 
 
 def _copy(data: Dataset, u: Update) -> Dataset:
+    """ADD, COPY and MOVE: the subjects of both graphs are touched."""
     source, target = (DEFAULT_GRAPH if x == "DEFAULT" else x for x in (u.source, u.target))
     _allowed(u, target)
     if source == target:
         return data
     if source != DEFAULT_GRAPH and source not in _graphs(data):
         raise UnknownGraph(source)
-    flat = data.flattened()
-    stored = flat.stored if flat.stored is not None else data.spark.createDataFrame([], QUAD_SQL)
-    moved = stored.where(F.col("g") == source).withColumn("g", F.lit(target)).select(*_KEY)
-    if u.kind in ("copy", "move"):
-        stored = stored.where(F.col("g") != target)
-    if u.kind == "move":
-        stored = stored.where(F.col("g") != source)
     graphs = data.graphs | ({target} if target != DEFAULT_GRAPH else set())
     if u.kind == "move":
         graphs -= {source}
-    return flat.with_quads(materialise(stored.union(moved).distinct(), "quads"), graphs=graphs)
+    touched, path = data.write(data.quads().where(F.col("g").isin(source, target)).select("s").distinct(), "touched")
+    starts, _ = data.starts(touched)
+    quads = data.about(touched, starts)
+    moved = quads.where(F.col("g") == source).withColumn("g", F.lit(target)).select(*_KEY)
+    if u.kind in ("copy", "move"):
+        quads = quads.where(F.col("g") != target)
+    if u.kind == "move":
+        quads = quads.where(F.col("g") != source)
+    return data.changed(touched, path, starts, quads.union(moved).distinct(), graphs=graphs)
 
 
 def _template(c: Compiler, sol, quads: list, graph: str | None, scope: Scope) -> DataFrame | None:
@@ -132,27 +133,49 @@ def _modify(data: Dataset, u: Update, params: dict, services: dict) -> Dataset:
     if u.where:
         sol.df = materialise(sol.df, "where")
     deleted, added = _template(c, sol, u.delete, u.with_graph, scope), _template(c, sol, u.insert, u.with_graph, scope)
+    deleted, added = (x if x is None else materialise(x, "change") for x in (deleted, added))
+    nulls = any(o[0] == "null" for _, _, o, _ in u.insert)
+    known = all(p[0] == "p" for _, p, _, _ in u.insert)
+    return _changed(data, deleted, added, u.replace, nulls=nulls, known=known)
+
+
+def _changed(data: Dataset, deleted: DataFrame | None, added: DataFrame | None, replaces: bool = False, implicit: bool = False, nulls: bool = False, known: bool = False) -> Dataset:
+    """The snapshot after a change, given as stored quads; ``known``: its properties are declared ones."""
+    parts = [x.select("s") for x in (deleted, added) if x is not None]
+    if not parts:
+        return data
+    touched, path = data.write(reduce(DataFrame.union, parts).distinct(), "touched")
+    starts, some = data.starts(touched)
+    if not some:
+        return data
+    quads, needed, graphs = data.about(touched, starts), None, data.graphs
+    if data.tables or data.stored is not None:
+        quads = materialise(quads, "before")
     if deleted is not None:
-        data = removed(data, materialise(deleted, "deleted"))
+        graphs |= {r[0] for r in quads.select("g").where(F.col("g") != DEFAULT_GRAPH).distinct().collect()}
+        quads = removed(data, quads, deleted)
     if added is not None:
-        added = materialise(added, "added")
-        nulls = added.where("o is null")
-        if u.replace or not nulls.isEmpty():
-            if not nulls.where(F.col("p") == RDF + "type").isEmpty():
-                raise ConstraintViolation("NULL for rdf:type")
-            cleared = added if u.replace else nulls
-            flat = data.flattened()
-            if flat.stored is not None:
-                data = flat.with_quads(flat.stored.join(cleared.where(F.col("p") != RDF + "type").select("g", "s", "p").distinct(), ["g", "s", "p"], "left_anti").select(*_KEY))
-        data = inserted(data, added.where("o is not null"))
-    return data
-
-
-def removed(data: Dataset, quads: DataFrame) -> Dataset:
-    """Without some quads; a lost type takes its subclasses and dependent values along."""
-    flat, onto = data.flattened(), data.ontology
-    if flat.stored is None:
-        return data
+        if nulls and not added.where("o is null").where(F.col("p") == RDF + "type").isEmpty():
+            raise ConstraintViolation("NULL for rdf:type")
+        if nulls or replaces:
+            cleared = added if replaces else added.where("o is null")
+            quads = quads.join(cleared.where(F.col("p") != RDF + "type").select("g", "s", "p").distinct(), ["g", "s", "p"], "left_anti").select(*_KEY)
+        new, needed = widened(data, added.where("o is not null"), implicit, known)
+        quads = quads.unionByName(new).distinct()
+    out = data.changed(touched, path, starts, quads, graphs=graphs)
+    check(out, touched, None if implicit else needed)
+    return out
+
+
+def inserted(data: Dataset, quads: DataFrame, implicit: bool = False) -> Dataset:
+    """With more quads; with ``implicit``, as for RDF documents, a subject gets
+    the domain class of its properties; in updates a missing class is an error."""
+    return _changed(data, None, materialise(quads.select(*_KEY).where("o is not null"), "added"), implicit=implicit)
+
+
+def removed(data: Dataset, stored: DataFrame, quads: DataFrame) -> DataFrame:
+    """``stored`` without some quads; a lost type takes its subclasses and dependent values along."""
+    onto = data.ontology
     up = [(p, q) for p in onto.properties for q in onto.superproperties(p)]
     wider = data.spark.createDataFrame(up, "p string, q string")
     props = quads.where(F.col("p") != RDF + "type").join(F.broadcast(wider), "p").select("g", "s", F.col("q").alias("p"), "o")
@@ -161,9 +184,8 @@ def removed(data: Dataset, quads: DataFrame) -> Dataset:
     domains = data.spark.createDataFrame([(p.iri, p.domain) for p in onto.properties.values()], "p string, d string")
     dependent = types.join(F.broadcast(domains), "d").select("g", "s", "p").distinct()
     lost_types = types.select("g", "s", F.lit(RDF + "type").alias("p"), F.struct(F.lit("iri").alias("kind"), F.col("d").alias("lex"), F.lit(None).cast("string").alias("lang")).alias("o"))
-    left = _anti(flat.stored, props.unionByName(lost_types))
-    left = left.join(dependent.where(F.col("p") != RDF + "type"), ["g", "s", "p"], "left_anti").select(*_KEY)
-    return flat.with_quads(materialise(left, "quads"), graphs=data.graphs | frozenset(_graphs(data)))
+    left = _anti(stored, props.unionByName(lost_types))
+    return left.join(dependent.where(F.col("p") != RDF + "type"), ["g", "s", "p"], "left_anti").select(*_KEY)
 
 
 def _flat_key(df: DataFrame) -> DataFrame:
@@ -174,15 +196,11 @@ def _anti(left: DataFrame, right: DataFrame) -> DataFrame:
     return _flat_key(left).join(_flat_key(right).select("g", "s", "p", "_o").distinct(), ["g", "s", "p", "_o"], "left_anti").select(*_KEY)
 
 
-def inserted(data: Dataset, quads: DataFrame, implicit: bool = False) -> Dataset:
-    """With more quads: super-types and super-properties added, constraints checked.
-
-    With ``implicit``, as for RDF documents, a subject gets the domain class of
-    its properties; in updates a missing class is an error.
-    """
-    onto, flat = data.ontology, data.flattened()
+def widened(data: Dataset, quads: DataFrame, implicit: bool, checked: bool = False) -> tuple[DataFrame, DataFrame]:
+    """New quads with super-types and super-properties, and the classes (g, s, c) that their properties need."""
+    onto = data.ontology
     known = [*onto.properties, RDF + "type"]
-    if not implicit:
+    if not implicit and not checked:
         strange = quads.where(~F.col("p").isin(*known)).first()
         if strange:
             raise UnknownProperty(strange["p"])
@@ -201,11 +219,7 @@ def inserted(data: Dataset, quads: DataFrame, implicit: bool = False) -> Dataset
         types = types.union(needed)
     iri = F.struct(F.lit("iri").alias("kind"), F.col("d").alias("lex"), F.lit(None).cast("string").alias("lang"))
     types = types.join(F.broadcast(up), "c").select("g", "s", F.lit(RDF + "type").alias("p"), iri.alias("o"))
-    new = values.unionByName(types)
-    stored = flat.stored.unionByName(new) if flat.stored is not None else new
-    out = flat.with_quads(materialise(stored.distinct(), "quads"), graphs=data.graphs)
-    check(out, None if implicit else needed)
-    return out
+    return values.unionByName(types), needed
 
 
 def _ranged(o, kind):
@@ -228,15 +242,23 @@ def _ranged(o, kind):
     return F.when(fits, o).when(read.isNotNull(), F.struct(kind.alias("kind"), read.alias("lex"), F.lit(None).cast("string").alias("lang")))
 
 
-def check(data: Dataset, needed: DataFrame | None = None) -> None:
-    """Raises where a single-valued or unique property has more, or a subject lacks its domain class."""
-    onto, q = data.ontology, data.stored
+def check(data: Dataset, touched: DataFrame, needed: DataFrame | None = None) -> None:
+    """Raises where a touched subject has several values of a single-valued property,
+    shares a unique value with any subject, or lacks a domain class."""
+    onto = data.ontology
+    q = data.deltas[-1].quads if data.deltas else data.stored
+    if q is None:
+        return
     single = [p.iri for p in onto.properties.values() if p.single and p.iri not in (ONT + "added", ONT + "modified")]
     unique = [p.iri for p in onto.properties.values() if p.unique]
     if bad := q.where(F.col("p").isin(*single)).groupBy("g", "s", "p").agg(F.count_distinct("o").alias("n")).where("n > 1").first():
         raise ConstraintViolation(f"{bad['s']} has {bad['n']} values of {bad['p']}")
-    if unique and (bad := q.where(F.col("p").isin(*unique)).groupBy("g", "p", "o").agg(F.count_distinct("s").alias("n")).where("n > 1").first()):
-        raise ConstraintViolation(f"{bad['n']} subjects share a value of {bad['p']}")
+    if unique:
+        own = q.join(touched, "s", "left_semi").where(F.col("p").isin(*unique))
+        if not own.isEmpty():
+            every = data.quads(set(unique)).where(F.col("p").isin(*unique)).join(own.select("g", "p", F.col("o.lex").alias("_lex")).distinct().withColumnsRenamed({"g": "_g", "p": "_p"}), (F.col("g") == F.col("_g")) & (F.col("p") == F.col("_p")) & (F.col("o.lex") == F.col("_lex")), "left_semi")
+            if bad := every.groupBy("g", "p", "o").agg(F.count_distinct("s").alias("n")).where("n > 1").first():
+                raise ConstraintViolation(f"{bad['n']} subjects share a value of {bad['p']}")
     if needed is not None:
         have = q.where(F.col("p") == RDF + "type").select("g", "s", F.col("o.lex").alias("c"))
         if bad := needed.join(have, ["g", "s", "c"], "left_anti").first():
@@ -259,4 +281,4 @@ def evolved(data: Dataset, ontology, changes: list[tuple[str, str]]) -> Dataset:
             cast = {"integer": F.coalesce(lex.try_cast("bigint"), lex.try_cast("double").try_cast("bigint")).cast("string"), "double": lex.try_cast("double").cast("string"), "boolean": F.when(F.lower(lex).isin("true", "1"), "true").otherwise("false")}.get(kind, lex)
             o = F.struct(F.lit(kind).alias("kind"), cast.alias("lex"), F.col("o.lang").alias("lang"))
             q = q.withColumn("o", F.when(F.col("p") == iri, o).otherwise(F.col("o"))).where("o.lex is not null")
-    return replace(data, ontology=ontology, stored=materialise(q.select(*_KEY), "quads"))
+    return replace(data, ontology=ontology).with_quads(*data.write(q.select(*_KEY), "quads"))
