@@ -109,6 +109,7 @@ def _closure(c, inner, start, end) -> tuple[DataFrame, T, T]:
         v, tv = c.constant(end)
         delta = found.df.select(found.col("s").alias("s"), _constant(v, tv, t, end).alias("o"))
     total = delta = materialise(delta.distinct(), "delta")
+    rounds = 0
     while not delta.isEmpty():
         if backwards:
             new = delta.join(step, F.col("s").eqNullSafe(F.col("_n"))).select(F.col("_m").alias("s"), "o")
@@ -116,6 +117,9 @@ def _closure(c, inner, start, end) -> tuple[DataFrame, T, T]:
             new = delta.join(step, F.col("o").eqNullSafe(F.col("_m"))).select("s", F.col("_n").alias("o"))
         delta = materialise(new.distinct().join(total, ["s", "o"], "left_anti").select("s", "o"), "delta")
         total = total.union(delta)
+        rounds += 1
+        if rounds % 8 == 0:  # long chains: one table instead of one for each round
+            total = materialise(total, "closure")
     return total, t, t
 
 
