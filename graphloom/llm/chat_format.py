@@ -12,7 +12,8 @@ appear in a text, and :func:`parse` restores each text exactly. The loss mask
 covers the content of assistant turns.
 
 Defined cases: null text and null role are empty; turns with equal numbers go
-by role, then text; repeated rows are turns like others; an empty table gives
+by role, then text, null turns first; rows without a conv_id are one
+conversation; repeated rows are turns like others; an empty table gives
 an empty result; extra columns are ignored; a conversation of any length is
 read as a stream, its rows sorted on disk, never held together.
 """
@@ -200,7 +201,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
         n = loss = chars = 0
         whole, masked = hashlib.sha256(), hashlib.sha256()
         for batch in batches:
-            for conv, formatted, a, b, in_loss in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for conv, formatted, a, b in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if not begun or conv != now:
                     if begun:
                         done.append((now, n, whole.hexdigest(), loss, masked.hexdigest(), chars))
@@ -210,7 +211,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
                     n += 1
                     whole.update(f"{role}\n{text}\n".encode())
                 chars += len(formatted)
-                if in_loss:
+                if role == "assistant":  # as the output says
                     text = unescape(_HOLDER.sub("", formatted[a:b]))
                     loss += len(text)
                     masked.update(text.encode())
@@ -224,7 +225,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
 
     schema = pa.schema([("conv_id", pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     in_order = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return in_order.select("conv_id", "formatted", "content_start", "content_end", "in_loss").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return in_order.select("conv_id", "formatted", "content_start", "content_end").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def format_conversations(conversations: DataFrame, costs: Costs = Costs()) -> DataFrame:
