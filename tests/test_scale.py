@@ -47,3 +47,23 @@ def test_a_results_query_collects_no_row(spark, sf_dir, monkeypatch, fmt):
     monkeypatch.setattr(results, "to_xml", None)
     monkeypatch.setattr(results, "_frame", None)
     assert queries.QUERIES[f"results_{fmt}"](spark, sf_dir).count() == 200
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_unpivoted_tables_meet_the_schema_as_the_side_that_stays(spark, sf_dir):
+    from graphloom import queries
+
+    first = next(x for x in optimized(queries.QUERIES["schema_type"](spark, sf_dir)).splitlines() if "Join" in x)
+    assert "leftHint=(strategy=broadcast)" in first
+
+
+def test_minus_meets_each_value_once(spark):
+    s = session(spark)
+    plan = optimized(s.query("SELECT ?x ?a { ?x a t:Person OPTIONAL { ?x t:age ?a } MINUS { ?y t:age ?a ; t:called 'Dan' } }"))
+    last = plan[plan.rindex("LeftAnti") :]
+    assert "Aggregate" in last
+    got = rows(s.query("SELECT ?x ?a { ?x a t:Person OPTIONAL { ?x t:age ?a } MINUS { ?y t:age ?a ; t:called 'Dan' } }"))
+    assert sorted(got, key=repr) == [("urn:ann", 40), ("urn:cat", None)]
