@@ -67,3 +67,48 @@ def test_minus_meets_each_value_once(spark):
     assert "Aggregate" in last
     got = rows(s.query("SELECT ?x ?a { ?x a t:Person OPTIONAL { ?x t:age ?a } MINUS { ?y t:age ?a ; t:called 'Dan' } }"))
     assert sorted(got, key=repr) == [("urn:ann", 40), ("urn:cat", None)]
+
+
+def _orders(spark, sf_dir):
+    from graphloom.session import GraphSession
+    from graphloom.sources.tables import dataset
+
+    return GraphSession(spark, dataset(spark, sf_dir, ["orders", "lineitem"]))
+
+
+STEPS = [
+    "DELETE { ?o :orderstatus 'P' } INSERT { ?o :orderstatus 'Q' ; :totalprice '7.5' } WHERE { ?o :orderstatus 'P' ; :totalprice ?t FILTER (?t > 200000) }",  # a second total: refused
+    "DELETE { ?o :orderstatus 'P' ; :totalprice ?t } INSERT { ?o :orderstatus 'Q' ; :totalprice '7.5' } WHERE { ?o :orderstatus 'P' ; :totalprice ?t FILTER (?t > 200000) }",
+    "DELETE { ?o :orderdate ?d ; :orderpriority '5-LOW' } WHERE { ?o :orderstatus 'Q' ; :orderdate ?d }",
+    "DELETE { ?l :quantity ?q } INSERT { ?l :quantity ?r } WHERE { ?l :returnflag 'R' ; :quantity ?q ; :order ?o . ?o :orderstatus 'Q' BIND (?q + 0.5 AS ?r) }",
+    "DELETE { ?l :quantity ?q } INSERT { ?l :quantity 1.0 } WHERE { ?l :quantity ?q FILTER (?q > 45) }",
+    "INSERT { ?o :orderpriority '1-URGENT' } WHERE { ?o :orderpriority '1-URGENT' }",
+    "INSERT { ?l :order ?o } WHERE { ?l :order ?o ; :quantity 1.0 ; :linenumber 1 }",  # a resource: quads
+]
+ASKED = ["SELECT ?o ?s ?t ?d ?p { ?o a :Order OPTIONAL { ?o :orderstatus ?s } OPTIONAL { ?o :totalprice ?t } OPTIONAL { ?o :orderdate ?d } OPTIONAL { ?o :orderpriority ?p } }", "SELECT ?l ?q ?n { ?l a :LineItem ; :quantity ?q ; :linenumber ?n }"]
+
+
+def test_changed_rows_hold_what_changed_quads_hold(spark, sf_dir, monkeypatch):
+    from graphloom import update
+    from graphloom.errors import ConstraintViolation
+
+    def told(s) -> list:
+        return [sorted(rows(s.query(q)), key=repr) for q in ASKED]
+
+    def steps(s, n: int) -> None:
+        for text in STEPS[:n]:
+            if text is STEPS[0]:
+                with pytest.raises(ConstraintViolation):
+                    s.update(text)
+            else:
+                s.update(text)
+
+    rowwise = _orders(spark, sf_dir)
+    steps(rowwise, 6)
+    assert rowwise.data.stored is None and not rowwise.data.deltas and len(rowwise.data.tables) == 7
+    rowwise.update(STEPS[6])
+    assert rowwise.data.stored is not None
+    monkeypatch.setattr(update, "_changed_rows", lambda *_: None)
+    quads = _orders(spark, sf_dir)
+    steps(quads, 7)
+    assert told(rowwise) == told(quads)
