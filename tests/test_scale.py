@@ -112,3 +112,30 @@ def test_changed_rows_hold_what_changed_quads_hold(spark, sf_dir, monkeypatch):
     quads = _orders(spark, sf_dir)
     steps(quads, 7)
     assert told(rowwise) == told(quads)
+
+
+def test_many_rows_of_a_key_meet_in_blocks(spark, monkeypatch):
+    from graphloom.plans import solutions
+
+    monkeypatch.setattr(solutions, "BLOCK", 2)
+    s = session(spark)
+    s.update("INSERT DATA { " + " ".join(f"<urn:p{k}> a t:Person ; t:called 'p{k}' ; t:age {k % 2} ." for k in range(9)) + " }")
+    q = s.query("SELECT ?a ?b { ?x t:age ?n ; t:called ?a . ?y t:age ?n ; t:called ?b FILTER (?a < ?b) }")
+    people = [("Dan", 30), ("bob", 30), *((f"p{k}", k % 2) for k in range(9))]
+    people += [("Ann", 40)]
+    assert sorted(rows(q)) == sorted((a, b) for a, n in people for b, m in people if n == m and a < b)
+    assert "Repartition" in optimized(q)
+
+
+def test_postings_gather_words_in_their_row(spark, tmp_path):
+    from graphloom.operators import fts
+    from graphloom.plans.lower import Scope
+    from graphloom.session import GraphSession
+    from graphloom.sources.tables import dataset
+
+    texts = [(1, "b a b c a b", "en", "x", 1), (2, "", "en", "x", 0), (3, None, "en", "x", 0), (4, "a b", "en", "x", 3), (4, "b", "en", "x", 1)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    table = fts.postings(GraphSession(spark, dataset(spark, str(tmp_path), ["documents"])).compiler(), Scope())
+    got = sorted((r["s"][-1], r["term"], list(r["at"])) for r in table.collect())
+    assert got == [("1", "a", [1, 4]), ("1", "b", [0, 2, 5]), ("1", "c", [3]), ("4", "a", [0]), ("4", "b", [0, 1])]
+    assert optimized(table).count("Aggregate") == 1  # of the resources that several rows name
