@@ -139,3 +139,57 @@ def test_postings_gather_words_in_their_row(spark, tmp_path):
     got = sorted((r["s"][-1], r["term"], list(r["at"])) for r in table.collect())
     assert got == [("1", "a", [1, 4]), ("1", "b", [0, 2, 5]), ("1", "c", [3]), ("4", "a", [0]), ("4", "b", [0, 1])]
     assert optimized(table).count("Aggregate") == 1  # of the resources that several rows name
+
+
+LINES = "DELETE { ?l :quantity ?q } INSERT { ?l :quantity 0.5 } WHERE { ?l :returnflag 'R' ; :quantity ?q ; :order ?o . ?o :orderstatus 'O' }"
+
+
+def test_rows_without_a_key_are_named_only_where_they_may_change(spark, sf_dir, monkeypatch):
+    from graphloom.dataset import Dataset
+
+    written, write = [], Dataset.write
+    monkeypatch.setattr(Dataset, "write", lambda self, df, label: (written.append((label, optimized(df))), write(self, df, label))[1])
+    s = _orders(spark, sf_dir)
+    s.update(LINES)
+    assert [label for label, _ in written] == ["rows"]  # they come with the WHERE result and meet the table no more
+    assert written[0][1].count("sha2(") == 1 and written[0][1].index("sha2(") < written[0][1].index("Join")
+    plan = optimized(s.query("SELECT ?f (COUNT(?l) AS ?n) (SUM(?q) AS ?s) { ?l :returnflag ?f ; :quantity ?q } GROUP BY ?f"))
+    hashed = [x for x in plan.splitlines() if "sha2(" in x]
+    assert len(hashed) == 1 and plan.count("LeftAnti") == 1
+    below = plan.splitlines()[plan.splitlines().index(hashed[0]) + 1]
+    assert "Filter" in below and "= R)" in below
+
+
+LINE_STEPS = [
+    LINES,
+    "DELETE { ?l :quantity ?q } INSERT { ?l :quantity 2.5 } WHERE { ?l :quantity ?q ; :linenumber 2 FILTER (?q > 5) }",  # rows of two tables
+    "DELETE { ?l :tax ?t } WHERE { ?l :returnflag 'R' ; :tax ?t ; :order ?o . ?p a :Order ; :customer ?c . ?o :customer ?c }",  # told several times
+    "DELETE { ?l :discount ?d } INSERT { ?l :discount 0.25 } WHERE { ?l :discount ?d FILTER (STRLEN(STR(?l)) > 3) }",
+]
+
+
+@pytest.mark.parametrize("steps", [LINE_STEPS[:2], LINE_STEPS[2:3], LINE_STEPS[3:]])
+def test_rows_brought_along_hold_what_rows_met_by_name_hold(spark, tmp_path, monkeypatch, steps):
+    from datetime import datetime
+
+    from graphloom import update
+    from graphloom.errors import ConstraintViolation
+    from graphloom.session import GraphSession
+    from graphloom.sources.tables import dataset
+
+    at = datetime(1995, 1, 2, 3, 4, 5)
+    orders = [(k, k % 2, "OFP"[k % 3], 9.5, at, "1-URGENT") for k in range(6)]
+    lines = [(k % 6, 1, 1, k % 3, float(k), 1.0, -0.0 if k % 2 else 0.0, None if k % 5 else 0.1, ["R", "A", None, "R"][k % 4], "O", at) for k in range(40)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines + lines[:9] + [(None, *lines[0][1:])], "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def told() -> list:
+        s = GraphSession(spark, dataset(spark, str(tmp_path), ["orders", "lineitem"]))
+        with pytest.raises(ConstraintViolation):
+            s.update("INSERT { ?l :quantity 99.5 } WHERE { ?l :returnflag 'A' ; :quantity ?q }")
+        s.update(*steps)
+        return sorted(rows(s.query("SELECT ?l ?q ?d ?t ?n { ?l a :LineItem ; :quantity ?q OPTIONAL { ?l :discount ?d } OPTIONAL { ?l :tax ?t } OPTIONAL { ?l :linenumber ?n } }")), key=repr)
+
+    got = told()
+    monkeypatch.setattr(update, "_own_rows", lambda *_: None)
+    assert len(got) >= 50 and got == told()
