@@ -193,3 +193,42 @@ def test_rows_brought_along_hold_what_rows_met_by_name_hold(spark, tmp_path, mon
     got = told()
     monkeypatch.setattr(update, "_own_rows", lambda *_: None)
     assert len(got) >= 50 and got == told()
+
+
+def test_a_load_gathers_rows_in_parts_that_grow_with_it(spark, sf_dir, monkeypatch):
+    """A task that aggregates before the exchange holds what its files unpack to: no gather of a whole load may."""
+    import re
+
+    from graphloom import runtime
+    from graphloom.dataset import Dataset
+    from graphloom.ontology import Ontology
+    from graphloom.session import GraphSession
+    from graphloom.sources.tables import dataset
+
+    tables = dataset(spark, sf_dir, ["customer", "nation"])
+    written, write = [], Dataset.write
+
+    def kept(self, df, label):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        written.append((label, [int(n) for n in re.findall(r"Exchange hashpartitioning\(s#\d+, (\d+)\), REPARTITION_BY_NUM", plan)], plan))
+        return write(self, df, label)
+
+    monkeypatch.setattr(Dataset, "write", kept)
+
+    def loaded(size: int) -> list:
+        monkeypatch.setattr(runtime, "PART_BYTES", size)
+        written.clear()
+        s = GraphSession(spark, Ontology.of(tables.ontology.classes.values(), tables.ontology.properties.values()))
+        s.load(tables.quads())
+        return sorted(rows(s.query("SELECT ?c ?n ?b { ?c :nation/:name ?n ; :acctbal ?b }")))
+
+    want = loaded(1 << 40)
+    assert want and written and not any(parts for _, parts, _ in written)
+    size = runtime.stored_bytes(tables.quads()) // 8
+    assert loaded(size) == want
+    touched, quads = (next(x for x in written if x[0] == label) for label in ("touched", "quads"))
+    assert touched[1][0] > 1 and touched[2].index("HashAggregate") < touched[2].index("REPARTITION_BY_NUM")
+    assert "HashAggregate" not in touched[2][touched[2].index("REPARTITION_BY_NUM") :]
+    few = quads[1][0]
+    assert few > 1 and loaded(size // 4) == want
+    assert next(x for x in written if x[0] == "quads")[1][0] >= 3 * few
